@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 PIECE = 1 << 20
 _ODD = 0x9E3779B97F4A7C15
@@ -25,8 +26,10 @@ IS_WORD = ((_ascii >= 48) & (_ascii <= 57)) | ((LOWER >= 97) & (LOWER <= 122)) |
 LETTERS = np.where(((LOWER >= 97) & (LOWER <= 122)) | (_ascii >= 128), LOWER, 32).astype(np.uint8)
 
 
-def column_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of all texts end to end, and len + 1 offsets; a null is empty."""
+def column_bytes(column: pa.Array | pa.ChunkedArray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts end to end, and len + 1 offsets; a null is empty. lower: of all scripts' letters."""
+    if lower and len(column):
+        column = pc.utf8_lower(column)
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
         if isinstance(column, pa.ChunkedArray):

@@ -143,7 +143,7 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = B.column_bytes(batch.column("_text"))
+            data, offsets = B.column_bytes(batch.column("_text"), lower=True)
             buckets, counts = [], []
             for i in range(batch.num_rows):
                 n = np.zeros(1 << bits, np.int64)
@@ -175,7 +175,7 @@ def identify(df: DataFrame, model: LangModel, text: str = "text", keep: tuple[st
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: LangModel = pickle.loads(shared.value)
         for batch in batches:
-            data, offsets = B.column_bytes(batch.column("t"))
+            data, offsets = B.column_bytes(batch.column("t"), lower=True)
             p = m.probabilities(data, offsets)
             whole = data.tobytes()
             lettered = np.array([_LETTER.search(whole[a:b].decode("utf-8", "replace")) is not None for a, b in zip(offsets[:-1], offsets[1:], strict=True)], bool)

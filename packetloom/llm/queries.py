@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm import langid, simhash, sketch, toxicity, urls
+from packetloom.llm import decontaminate, langid, mixing, simhash, sketch, suffixes, toxicity, urls
 
 #: The rules of op6.
 URL_RULES = [
@@ -49,12 +49,26 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffixes.remove_repeats(_table(spark, sf_dir, "documents"))
+    removed = F.aggregate(F.zip_with("starts", "ends", lambda a, b: b - a), F.lit(0).cast("bigint"), lambda x, y: x + y)
+    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("starts").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
 def op10_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.fingerprint_documents(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op4_simhash, op5_toxicity, op6_url_filter, op10_sketch)}
+    return {f.__name__: f for f in (op1_language_id, op3_decontaminate, op4_simhash, op5_toxicity, op6_url_filter, op7_suffix_dedup, op8_mixing, op10_sketch)}
 
 
 _OP6 = """

@@ -224,7 +224,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
         stop_keys, stop_of, langs = _stop_table()
         stop_of = np.vstack([np.zeros(len(langs), np.float32), stop_of])
         for batch in batches:
-            data, offsets = B.column_bytes(batch.column("_text"))
+            data, offsets = B.column_bytes(batch.column("_text"), lower=True)
             out: list[list] = [[], [], []]
             for i in range(batch.num_rows):
                 w, s, _ = hashed_words(part := data[offsets[i] : offsets[i + 1]], np.array([0, len(part)]))
@@ -252,7 +252,7 @@ def score(df: DataFrame, model: ToxicModel, text: str = "text", keep: tuple[str,
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: ToxicModel = pickle.loads(shared.value)
         for batch in batches:
-            p, group = m.scores(*B.column_bytes(batch.column("t")))
+            p, group = m.scores(*B.column_bytes(batch.column("t"), lower=True))
             kept = [batch.column(c) for c in batch.schema.names if c != "t"]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32)), pa.array(group, pa.string())], [*[c for c in batch.schema.names if c != "t"], "score", "predicted", "lang_group"])
 
