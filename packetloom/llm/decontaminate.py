@@ -220,42 +220,60 @@ def find_leaks(df: DataFrame, items: DataFrame, text: str = "text", key: str = "
     their matches; an empty table on either side gives no rows; other columns are not read. The index
     of items with more than index_bytes of text is built in parts, and each part queried.
     """
-    size = items.agg(F.coalesce(F.sum(F.octet_length(item_text)), F.lit(0)).alias("b")).first().b
-    shards = max(1, math.ceil(size / index_bytes))
     out = None
-    for shard in range(shards):
-        rows = items.select(F.col(item_key).alias("i"), F.col(item_text).alias("t")).where(F.pmod(F.xxhash64("i", "t"), F.lit(shards)) == shard).collect()
-        one = _queried(df, build(sorted(((r.i, r.t) for r in rows if r.i is not None), key=lambda r: (r[0], r[1] or ""))), text, key, threshold, overlap)
+    for index in _indexes(items, item_key, item_text, index_bytes):
+        one = _found(df, index, text, key, threshold, overlap)
         out = one if out is None else out.unionByName(one)
     return out.withColumnRenamed("item_id", item_key)
 
 
-def _queried(df: DataFrame, index: Index, text: str, key: str, threshold: float, overlap: float) -> DataFrame:
+def without_leaks(df: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", threshold: float = 0.7, overlap: float = 0.8, index_bytes: int = INDEX_BYTES) -> DataFrame:
+    """The rows of df into which no item leaks (see find_leaks), all their columns as they are."""
+    for index in _indexes(items, item_key, item_text, index_bytes):
+        df = _clean(df, index, text, threshold, overlap)
+    return df
+
+
+def _indexes(items: DataFrame, item_key: str, item_text: str, index_bytes: int) -> Iterator[Index]:
+    size = items.agg(F.coalesce(F.sum(F.octet_length(item_text)), F.lit(0)).alias("b")).first().b
+    shards = max(1, math.ceil(size / index_bytes))
+    for shard in range(shards):
+        rows = items.select(F.col(item_key).alias("i"), F.col(item_text).alias("t")).where(F.pmod(F.xxhash64("i", "t"), F.lit(shards)) == shard).collect()
+        yield build(sorted(((r.i, r.t) for r in rows if r.i is not None), key=lambda r: (r[0], r[1] or "")))
+
+
+def matches(ix: Index, column: pa.Array, threshold: float, overlap: float) -> dict[tuple[int, int], tuple[float, float, float]]:
+    """(row, item) to score and the overlaps of question and answer, for each leak in a column of texts."""
+    data, offsets = B.column_bytes(column, lower=True)
+    best: dict[tuple[int, int], tuple[float, float, float]] = {}
+    for i, j in B.runs(offsets) if ix.ids else ():
+        part = data[offsets[i] : offsets[j]]
+        for piece in B.pieces(part, ix.window) if j - i == 1 else (part,):
+            local = np.array([0, len(piece)]) if j - i == 1 else offsets[i : j + 1] - offsets[i]
+            words, _, bounds = hashed_words(piece, local)
+            term = _lookup(ix.terms, words)
+            for row, a, b in passages_at_bound(ix, term, bounds, threshold):
+                query = np.unique(term[a:b])
+                grams: dict[int, set] = {}
+                for item, score in block_max_wand(ix, (query[query > 0] - 1).tolist(), threshold):
+                    shares = []
+                    for n, want in ix.parts[item]:
+                        if n not in grams:
+                            grams[n] = set(_grams(words[a:b], n).tolist())
+                        shares.append(len(want & grams[n]) / len(want))
+                    if min(shares) >= overlap - 1e-9:
+                        best[i + row, item] = max(best.get((i + row, item), (0.0, 0.0, 0.0)), (score, *shares))
+    return best
+
+
+def _found(df: DataFrame, index: Index, text: str, key: str, threshold: float, overlap: float) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(pickle.dumps(index))
     wanted = df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
 
     def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix: Index = pickle.loads(shared.value)
         for batch in batches:
-            data, offsets = B.column_bytes(batch.column("t"), lower=True)
-            best: dict[tuple[int, int], tuple[float, float, float]] = {}
-            for i, j in B.runs(offsets) if ix.ids else ():
-                part = data[offsets[i] : offsets[j]]
-                for piece in B.pieces(part, ix.window) if j - i == 1 else (part,):
-                    local = np.array([0, len(piece)]) if j - i == 1 else offsets[i : j + 1] - offsets[i]
-                    words, _, bounds = hashed_words(piece, local)
-                    term = _lookup(ix.terms, words)
-                    for row, a, b in passages_at_bound(ix, term, bounds, threshold):
-                        query = np.unique(term[a:b])
-                        grams: dict[int, set] = {}
-                        for item, score in block_max_wand(ix, (query[query > 0] - 1).tolist(), threshold):
-                            shares = []
-                            for n, want in ix.parts[item]:
-                                if n not in grams:
-                                    grams[n] = set(_grams(words[a:b], n).tolist())
-                                shares.append(len(want & grams[n]) / len(want))
-                            if min(shares) >= overlap - 1e-9:
-                                best[i + row, item] = max(best.get((i + row, item), (0.0, 0.0, 0.0)), (score, *shares))
+            best = matches(ix, batch.column("t"), threshold, overlap)
             got = sorted(best)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("k").take(pa.array([r for r, _ in got], pa.int64())), pa.array([ix.ids[m] for _, m in got], pa.int64()), *(pa.array([best[g][c] for g in got], pa.float64()) for c in range(3))],
@@ -264,3 +282,16 @@ def _queried(df: DataFrame, index: Index, text: str, key: str, threshold: float,
 
     kind = wanted.schema["k"].dataType.simpleString()
     return wanted.mapInArrow(matched, f"k {kind}, item_id bigint, score double, question_overlap double, answer_overlap double").withColumnRenamed("k", key)
+
+
+def _clean(df: DataFrame, index: Index, text: str, threshold: float, overlap: float) -> DataFrame:
+    shared = df.sparkSession.sparkContext.broadcast(pickle.dumps(index))
+
+    def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ix: Index = pickle.loads(shared.value)
+        for batch in batches:
+            good = np.ones(batch.num_rows, bool)
+            good[[row for row, _ in matches(ix, batch.column(text), threshold, overlap)]] = False
+            yield batch.filter(pa.array(good))
+
+    return df.mapInArrow(filtered, df.schema)

@@ -18,6 +18,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -331,7 +332,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _KEPT = "k bigint, n_bytes bigint, starts array<bigint>, ends array<bigint>, kept binary"
 
 
-def _cut(tasks: int):
+def _cut(tasks: int, carried: list[str]):
     def cut(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
         b = Block(docs, tasks)
         least, several = b.least.copy(), np.zeros(len(b.least), bool)
@@ -369,7 +370,10 @@ def _cut(tasks: int):
                 keep[a:e] = False
             for name, x in zip(out, (None if b.null[i] else int(b.keys[i]), len(t), [a for a, _ in spans], [e for _, e in spans], t[keep].tobytes()), strict=True):
                 out[name].append(x)
-        return _rows(_KEPT, out)
+        table = _rows(_KEPT, out)
+        for c in carried:
+            table = table.append_column(c, docs.column(c))
+        return table
 
     return cut
 
@@ -384,8 +388,8 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", block_rows: int = 2000, hot_spans: int = HOT_SPANS) -> DataFrame:
-    """key, n_bytes, starts, ends, kept for each row of df.
+def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", carry: tuple[str, ...] = (), block_rows: int = 2000, hot_spans: int = HOT_SPANS) -> DataFrame:
+    """key, n_bytes, starts, ends, kept, and the columns carry, for each row of df.
 
     Bytes of the UTF-8 text that a string of DEPTH bytes covers which also starts in a text with a
     smaller key are removed; strings are judged on the input. starts and ends delimit the maximal
@@ -397,7 +401,7 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", block
     n = df.count()
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks, tasks = max(least, math.ceil(n / block_rows)), max(least, math.ceil(n / (4 * block_rows)))
-    docs = df.select(F.col(key).cast("bigint").alias("k"), F.coalesce(F.encode(F.col(text).cast("string"), "UTF-8"), F.lit(b"")).alias("t"))
+    docs = df.select(F.col(key).cast("bigint").alias("k"), F.coalesce(F.encode(F.col(text).cast("string"), "UTF-8"), F.lit(b"")).alias("t"), *[F.col(c).alias(f"c_{c}") for c in carry])
     docs = docs.withColumn("block", F.pmod(F.xxhash64("k"), F.lit(blocks))).repartition(blocks, "block")
     answers = docs.groupBy("block").applyInArrow(_send(tasks), _SENT).groupBy("task").applyInArrow(_answer(hot_spans), _ANSWER)
     asked = answers.where("holders is not null")
@@ -417,5 +421,17 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", block
     null = lambda name, kind: F.lit(None).cast(kind).alias(name)
     back = usual.unionByName(hot).select("block", null("task", "int"), null("at", "binary"), null("code", "binary"), "least", null("holders", "array<bigint>"), "choice", "span")
     told = answers.select("block", "task", "at", "code", "least", null("holders", "array<bigint>"), "choice", "span").unionByName(back)
-    out = docs.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_cut(tasks), _KEPT)
-    return out.withColumnRenamed("k", key)
+    extra = [f for f in docs.schema.fields if f.name.startswith("c_")]
+    schema = ", ".join([_KEPT, *(f"`{f.name}` {f.dataType.simpleString()}" for f in extra)])
+    out = docs.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_cut(tasks, [f.name for f in extra]), schema)
+    return out.select(F.col("k").alias(key), "n_bytes", "starts", "ends", "kept", *[F.col(f"c_{c}").alias(c) for c in carry])
+
+
+def whole_characters(df: DataFrame, kept: str = "kept", text: str = "text") -> DataFrame:
+    """df with the bytes of kept as a string text, without the rest of characters that were cut."""
+
+    @F.pandas_udf("string")
+    def decoded(raw: pd.Series) -> pd.Series:
+        return raw.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
+
+    return df.withColumn(text, decoded(kept))

@@ -246,15 +246,16 @@ def score(df: DataFrame, model: ToxicModel, text: str = "text", keep: tuple[str,
     stay; other columns are not read.
     """
     shared = df.sparkSession.sparkContext.broadcast(pickle.dumps(model))
-    wanted = df.select(*[F.col(c).alias(f"k_{c}") for c in keep], F.col(text).cast("string").alias("t"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in wanted.schema.fields if f.name != "t")
+    wanted = df.select(F.col(text).cast("string").alias("t"), *[F.col(c).alias(f"k_{c}") for c in keep if c != text])
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in wanted.schema.fields)
+    shown = text in keep
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: ToxicModel = pickle.loads(shared.value)
         for batch in batches:
             p, group = m.scores(*B.column_bytes(batch.column("t"), lower=True))
-            kept = [batch.column(c) for c in batch.schema.names if c != "t"]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32)), pa.array(group, pa.string())], [*[c for c in batch.schema.names if c != "t"], "score", "predicted", "lang_group"])
+            t = batch.column("t") if shown else pa.nulls(batch.num_rows, pa.string())
+            yield pa.RecordBatch.from_arrays([t, *batch.columns[1:], pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32)), pa.array(group, pa.string())], [*batch.schema.names, "score", "predicted", "lang_group"])
 
     out = wanted.mapInArrow(judged, f"{fields}, score double, predicted int, lang_group string")
-    return out.select(*[F.col(f"k_{c}").alias(c) for c in keep], "score", "predicted", "lang_group")
+    return out.select(*[F.col("t" if c == text else f"k_{c}").alias(c) for c in keep], "score", "predicted", "lang_group")
