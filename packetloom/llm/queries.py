@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm import decontaminate, langid, mixing, simhash, sketch, suffixes, toxicity, urls
+from packetloom.llm import chat, decontaminate, langid, lm, mixing, simhash, sketch, suffixes, toxicity, urls
 
 #: The rules of op6.
 URL_RULES = [
@@ -49,6 +49,10 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(_table(spark, sf_dir, "conversations"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -63,12 +67,17 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return lm.score(docs, lm.train(docs))
+
+
 def op10_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.fingerprint_documents(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_decontaminate, op4_simhash, op5_toxicity, op6_url_filter, op7_suffix_dedup, op8_mixing, op10_sketch)}
+    return {f.__name__: f for f in (op1_language_id, op2_chat_format, op3_decontaminate, op4_simhash, op5_toxicity, op6_url_filter, op7_suffix_dedup, op8_mixing, op9_lm_score, op10_sketch)}
 
 
 _OP6 = """
