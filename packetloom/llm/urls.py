@@ -6,7 +6,7 @@ import pickle
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Rule = tuple[str, str, str]  #: verdict, host, path
@@ -58,7 +58,7 @@ class Trie:
         return found
 
 
-def url_parts(url: str) -> tuple[F.Column, F.Column]:
+def url_parts(url: str) -> tuple[Column, Column]:
     """Columns of the host (A-Z lower-cased) and path of a url column; empty for null or without ://."""
     c = F.col(url)
     after = F.when(F.instr(c, "://") > 0, F.expr(f"substring(`{url}`, instr(`{url}`, '://') + 3)")).otherwise(F.lit(""))
