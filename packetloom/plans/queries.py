@@ -7,8 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from packetloom.functions import decode as D
+from packetloom.functions import tree as T
+from packetloom.functions.time import extrema
+from packetloom.operators import correlate as C
 from packetloom.operators import flows as X
+from packetloom.operators import paging as G
+from packetloom.operators import validate as V
+from packetloom.plans.frames import frames
 from packetloom.plans.trace import events_trace
+from packetloom.sources import pcap as S
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -191,3 +199,83 @@ R.add("timeline_zoom", lambda p: ends(X.zoom(X.timeline(p), None, 3_000_000_000,
 R.add("protocol_filter", lambda p: p.where("protocol = 'tcp'").select("packet_id", "captured_length"), _sql(select="select packet_id, size as captured_length from p where protocol = 'tcp'"))
 R.add("port53_filter", lambda p: p.where("src_port = 53 or dst_port = 53").select("packet_id"), _sql(select="select packet_id from p where src_port = 53 or dst_port = 53"))
 R.add("truncated_filter", lambda p: X.flow_packets(p).where("truncated").select("packet_id"), _sql(select="select packet_id from p where truncated"))
+
+
+# --- decoded frames, selections, pages and checks ------------------------------------------------
+def _frames(p: DataFrame) -> DataFrame:
+    return frames(p)
+
+
+_WIRE = """
+w as (select *, packet_id % 11 = 0 as tagged, case when family = 4 then 2048 else 34525 end as ether, case when family = 4 then 20 else 40 end as net,
+  case when packet_id % 11 = 0 then 18 else 14 end as n from p)"""
+_N = "case when length(data) > 14 and substring(data, 13, 2) = X'8100' then 18 else 14 end"
+
+
+def _decoded(p: DataFrame, columns: dict[str, Column], keep: list[str], where: str | None = None) -> DataFrame:
+    f = p.withColumns({c: columns[c] for c in keep})
+    return (f.where(where) if where else f).select("packet_id", *[F.lower(F.hex(c)).alias(c) if "address" in c or c in ("source", "destination") else F.col(c).cast("bigint").alias(c) if c != "checked" else F.col(c) for c in keep])
+
+
+def _net(column: str = "data") -> Column:
+    return F.expr(_N)
+
+
+def _transport(p: DataFrame) -> Column:
+    return F.expr(f"{_N} + case when family = 4 then 20 else 40 end")
+
+
+def _add(name: str, keep: list[str], spec: Callable[[DataFrame], dict[str, Column]], where: str | None, sql_columns: str, sql_where: str = "true") -> None:
+    R.add(name, lambda p: (lambda f: _decoded(f, spec(f), keep, where))(_frames(p).drop("protocol", "fin", "syn", "rst", "ack", "flags") if name != "udp_decode" else _frames(p).drop("protocol")), _sql(_WIRE, select=f"select packet_id, {sql_columns} from w where {sql_where}"))
+
+
+_add("ethernet_decode", ["destination", "source", "ether_type"], lambda f: D.ethernet(F.col("data")), None, "'020000000001' as destination, '020000000002' as source, case when tagged then 33024 else ether end::bigint as ether_type")
+_add("vlan_decode", ["tag_control_information", "priority_code_point", "drop_eligible", "vlan_identifier", "inner_ether_type"], lambda f: D.vlan(F.col("data")), "substring(data, 13, 2) = X'8100'", "(packet_id % 4096)::bigint as tag_control_information, 0::bigint as priority_code_point, 0::bigint as drop_eligible, (packet_id % 4096)::bigint as vlan_identifier, ether::bigint as inner_ether_type", "tagged")
+_add("ipv4_decode", ["version", "header_length", "total_length", "dont_fragment", "fragment_offset", "time_to_live", "protocol", "source_address", "destination_address"], lambda f: D.ipv4(F.col("data"), _net()), "family = 4", "4::bigint as version, 20::bigint as header_length, 40::bigint as total_length, 1::bigint as dont_fragment, 0::bigint as fragment_offset, 64::bigint as time_to_live, case when protocol = 'tcp' then 6 else 17 end::bigint as protocol, src as source_address, dst as destination_address", "family = 4")
+_add("ipv6_decode", ["version", "traffic_class", "flow_label", "payload_length", "next_header", "hop_limit", "source_address", "destination_address"], lambda f: D.ipv6(F.col("data"), _net()), "family = 6", "6::bigint as version, 0::bigint as traffic_class, 0::bigint as flow_label, 20::bigint as payload_length, case when protocol = 'tcp' then 6 else 17 end::bigint as next_header, 64::bigint as hop_limit, src as source_address, dst as destination_address", "family = 6")
+_add("tcp_decode", ["source_port", "destination_port", "sequence_number", "acknowledgment_number", "header_length", "syn", "ack", "fin", "rst", "window"], lambda f: D.tcp(F.col("data"), _transport(f)), "is_tcp", "src_port::bigint as source_port, dst_port::bigint as destination_port, coalesce(seq, 0)::bigint as sequence_number, coalesce(ack_no, 0)::bigint as acknowledgment_number, 20::bigint as header_length, syn::bigint as syn, ack::bigint as ack, fin::bigint as fin, rst::bigint as rst, 8192::bigint as window", "protocol = 'tcp'")
+_add("udp_decode", ["source_port", "destination_port", "length", "checksum"], lambda f: D.udp(F.col("data"), _transport(f)), "not is_tcp", "src_port::bigint as source_port, dst_port::bigint as destination_port, 20::bigint as length, 0::bigint as checksum", "protocol = 'udp'")
+_add("dns_header", ["transaction_id", "is_response", "response_code", "question_count", "answer_count"], lambda f: D.dns_header(F.col("data"), _transport(f) + 8), "not is_tcp and (src_port = 53 or dst_port = 53)", "txid::bigint as transaction_id, is_response::bigint as is_response, case when is_response then rcode else 0 end::bigint as response_code, qd::bigint as question_count, case when is_response then 1 else 0 end::bigint as answer_count", "protocol = 'udp' and (src_port = 53 or dst_port = 53)")
+R.add("decoded_flows", lambda p: ends(X.bidirectional_flows(D.flat_packets(_frames(p).select("capture_id", "packet_id", "interface_id", "seconds", "fraction", "captured_length", "diag_codes", "data")))).select(*_KEYS, "packets_total", "bytes_total"), _sql(_FLOWS, select=f"select {_K}, packets_total, bytes_total from flows"))
+
+
+def _trees(p: DataFrame) -> DataFrame:
+    return T.decode_trees(_frames(p))
+
+
+R.add("layer_tree", lambda p: T.table(_trees(p), "layers").select("packet_id", "layer_index", "protocol", "start", "length").where("protocol <> 'dns'").select("packet_id", F.col("layer_index").cast("bigint").alias("layer_index"), "protocol", F.col("start").cast("bigint").alias("start"), F.col("length").cast("bigint").alias("length")), _sql(_WIRE, select="select packet_id, l.layer_index::bigint as layer_index, l.protocol as protocol, l.start::bigint as start, l.length::bigint as length from (select packet_id, unnest(list_filter([{'layer_index': 0, 'protocol': 'ethernet', 'start': 0, 'length': 14}, case when tagged then {'layer_index': 1, 'protocol': 'vlan', 'start': 12, 'length': 6} end, {'layer_index': 1 + tagged::int, 'protocol': case when family = 4 then 'ipv4' else 'ipv6' end, 'start': n, 'length': net}, {'layer_index': 2 + tagged::int, 'protocol': protocol, 'start': n + net, 'length': case when protocol = 'tcp' then 20 else 8 end}], lambda x: x is not null)) as l from w)"))
+R.add("string_dictionary", lambda p: C.dictionary(T.table(_trees(p.where("protocol = 'tcp' and family = 4")), "fields").where("depth > 0 and layer_index = 0")), "select unnest(['destination', 'source', 'ether_type']) as name")
+R.add("protocol_diagnostics", lambda p: T.table(_trees(p), "diagnostics").select("packet_id", F.col("code").cast("bigint").alias("code"), "severity"))
+R.add("field_preorder", lambda p: C.preorder(T.table(_trees(p), "fields"), 1024).where("layer_index = 0").select("packet_id", F.col("position"), "name"), _sql(_WIRE, select="select packet_id, unnest([0, 1, 2, 3])::bigint as position, unnest(['ethernet', 'destination', 'source', 'ether_type']) as name from w"))
+
+_MAGICS = ["d4c3b2a1", "a1b2c3d4", "4d3cb2a1", "a1b23c4d", "0a0d0d0a1c0000004d3c2b1a", "0a0d0d0a1c00000000000000", "0a0d0d0a", "7f454c46"]
+
+# selections and fields as plain ranges, so that SQL can say the same
+_SEL = "selections as (select packet_id as selection_id, packet_id, packet_id % 40 as s0, packet_id % 40 + packet_id % 7 as s1 from p where packet_id % 10 = 0)"
+_FLD = "fields as (select packet_id, i as field_id, i % 4 as depth, (i * 5) % 37 as f0, (i * 5) % 37 + (i * i) % 9 as f1 from p, (select unnest(range(0, 24)) as i) where packet_id % 10 = 0)"
+_HIT = "case when s0 = s1 then f0 = s0 and f1 = f0 else f1 > f0 and f0 < s1 and f1 > s0 end"
+
+
+def _ranges(p: DataFrame) -> tuple[DataFrame, DataFrame]:
+    some = p.where("packet_id % 10 = 0").select("packet_id")
+    s = some.selectExpr("packet_id as selection_id", "packet_id", "packet_id % 40 as start", "packet_id % 7 as length")
+    f = some.selectExpr("packet_id", "explode(sequence(0L, 23L)) as field_id").selectExpr("packet_id", "field_id", "field_id % 4 as depth", "field_id * 5 % 37 as start", "field_id * field_id % 9 as length")
+    return s, f
+
+
+_RANK = "row_number() over (partition by selection_id order by (f0 = s0 and f1 = s1) desc, (f0 <= s0 and f1 >= s1) desc, case when f0 <= s0 and f1 >= s1 then f1 - f0 else 0 end, least(f1, s1) - greatest(f0, s0) desc, depth desc, f1 - f0, field_id) - 1"
+R.add("correlate_fields", lambda p: C.correlate(*_ranges(p)), _sql(_SEL, _FLD, select=f"select selection_id, s.packet_id, field_id, {_RANK} as rank from selections s join fields f on s.packet_id = f.packet_id where {_HIT}"))
+R.add("range_overlap_join", lambda p: C.correlate(*_ranges(p)).groupBy("selection_id").agg(F.count("*").alias("n")), _sql(_SEL, _FLD, select=f"select selection_id, count(*) as n from selections s join fields f on s.packet_id = f.packet_id where {_HIT} group by 1"))
+R.add("selection_out_of_bounds", lambda p: C.out_of_bounds(_ranges(p)[0].withColumn("length", F.col("length") * 20), p), _sql(_SEL, select="select selection_id, s.packet_id, 'selection_out_of_bounds' as reason from selections s join p on s.packet_id = p.packet_id where s0 + (s1 - s0) * 20 > size"))
+_ROW = "packet_id, 0::bigint as section_id, interface_id, size as captured_length, original_length, size as evidence_length, 0::bigint as evidence_offset, coalesce(t // 1000000, 0)::bigint as ts_seconds, coalesce(t % 1000000, 0)::bigint as ts_fraction, t is not null as ts_present, case when t is not null then 1 else 0 end::bigint as res_kind, case when t is not null then 6 else 0 end::bigint as res_exp"
+R.add("packet_rows", lambda p: G.packet_rows(p), _sql(select=f"select {_ROW} from p"))
+R.add("packet_page", lambda p: G.packet_page(p, 500, 200, 8192), _sql(select=f"select {_ROW} from p where packet_id >= 500 order by packet_id limit 153"))
+R.add("evidence_slice", lambda p: _frames(p).select("packet_id", F.lower(F.hex(G.evidence(F.col("data"), F.lit(6), 6))).alias("bytes")), _sql(select="select packet_id, '020000000002' as bytes from p"))
+R.add("capture_extrema", lambda p: p.sparkSession.createDataFrame([(a[0] * 1_000_000 + a[1], b[0] * 1_000_000 + b[1]) for a, b in [extrema(p)]], "started_at bigint, ended_at bigint"), _sql(select="select min(t) as started_at, max(t) as ended_at from p"))
+R.add("interface_join", lambda p: p.join(F.broadcast(p.sparkSession.createDataFrame([("events", 0, "eth0"), ("events", 1, "eth1")], "capture_id string, interface_id bigint, name string")), ["capture_id", "interface_id"]).groupBy("name").agg(F.count("*").alias("n")), _sql(select="select 'eth' || interface_id as name, count(*) as n from p group by 1"))
+R.add("validate_packets", lambda p: V.check_packets(p), "select unnest(['packet_id_dense', 'captured_length_negative', 'timestamp_halves', 'timestamp_fraction']) as \"check\", 0::bigint as violations")
+R.add("validate_fields", lambda p: V.check_fields(T.table(_trees(p), "fields"), _frames(p).select("packet_id", F.length("data").alias("captured_length"))), "select unnest(['field_parent_missing', 'field_before_parent', 'field_outside_parent', 'field_outside_packet']) as \"check\", 0::bigint as violations")
+R.add("format_sniff", lambda p: p.select("packet_id", F.unhex(F.element_at(F.array(*map(F.lit, _MAGICS)), (F.col("packet_id") % len(_MAGICS) + 1).cast("int"))).alias("h")).select("packet_id", S.sniff(F.col("h")).alias("format")), _sql(select=f"select packet_id, [{', '.join(repr(x) for x in ('pcap', 'pcap', 'pcap', 'pcap', 'pcapng', 'malformed', 'need_more_bytes', 'unsupported'))}][packet_id % 8 + 1] as format from p"))
+R.add("filename_hint", lambda p: p.select("packet_id", S.filename_hint(F.concat(F.lit("/a.b/x"), F.element_at(F.array(*map(F.lit, [".pcap", ".PCAPNG", ".txt", ""])), (F.col("packet_id") % 4 + 1).cast("int")))).alias("hint")), _sql(select="select packet_id, ['pcap', 'pcapng', null, null][packet_id % 4 + 1] as hint from p"))
+R.add("checksum", lambda p: T.table(_trees(p.where("family = 4")), "fields").where("name = 'header_checksum_valid'").select("packet_id", F.col("u").alias("valid")), _sql(_WIRE, select="select packet_id, 0::bigint as valid from w where family = 4"))
+R.add("finding_arbitration", lambda p: T.table(_trees(p.where("family = 4 and protocol = 'tcp'")), "diagnostics").groupBy("packet_id").agg(F.count("*").alias("n"), F.max("code").cast("bigint").alias("code")), _sql(_WIRE, select="select packet_id, 1::bigint as n, 12::bigint as code from w where family = 4 and protocol = 'tcp'"))
