@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -150,7 +151,7 @@ class Runs:
             least = np.minimum(least[:-k], least[k:])
         least = np.minimum(least[: m], least[_CHOICE - 16 : m + _CHOICE - 16])
         at = (least & np.uint64((1 << 21) - 1)).astype(np.int64)
-        owner = np.searchsorted(offsets, np.arange(m), "right") - 1
+        owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[:m]
         good = np.arange(m) + DEPTH <= offsets[owner + 1]
         edge = np.ones(m, bool)
         edge[1:] = (at[1:] != at[:-1]) | (owner[1:] != owner[:-1]) | (good[1:] != good[:-1])
@@ -169,7 +170,7 @@ class Block:
         data, offsets = B.column_bytes(table.column("t"))
         self.rows, self.null = [data[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)], null
         self.keys = np.where(null, 0, keys).astype(np.int64)
-        first: dict[bytes, int] = {}
+        first: dict[bytes, int] = {}  # by the text itself
         of, texts, docs = np.full(len(self.rows), -1), [], []
         for i, t in enumerate(self.rows):
             if null[i]:
@@ -276,9 +277,9 @@ def _show(tasks: int):
     def show(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
         """The bytes of the classes that this block was asked for."""
         out: dict[str, list] = {k.split()[0]: [] for k in _SPANS.split(", ")}
-        if answers.num_rows and docs.num_rows:
+        if docs.num_rows and answers.column("holders").null_count < answers.num_rows:
             b = Block(docs, tasks)
-            for r in answers.to_pylist():
+            for r in answers.filter(answers.column("holders").is_valid()).to_pylist():
                 i = b.bounds[r["task"]] + int(np.frombuffer(r["at"], np.uint32)[0])
                 run = b.sample[i]
                 a = b.runs.first[run]
@@ -310,7 +311,9 @@ def window_minima(contents: list[bytes], least: np.ndarray) -> list[np.ndarray]:
 
 def _sort(key: tuple, table: pa.Table) -> pa.Table:
     out: dict[str, list] = {k.split()[0]: [] for k in _BACK.split(", ")}
-    rows = table.to_pylist()
+    rows = [r for r in table.to_pylist() if not r["hot"]]
+    if not rows:
+        return _rows(_BACK, out)
     for r, minima in zip(rows, window_minima([r["content"] for r in rows], np.array([r["least"] for r in rows], np.int64)), strict=True):
         for block in r["holders"]:
             for k, x in zip(out, (block, r["choice"], r["span"], minima.tobytes()), strict=True):
@@ -319,14 +322,14 @@ def _sort(key: tuple, table: pa.Table) -> pa.Table:
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each window of a span: its place and a hash of its bytes."""
+    """A row for each window of a hot span: its place and a hash of its bytes; the first has the holders."""
     for batch in batches:
-        for r in batch.to_pylist():
+        for r in batch.filter(pc.equal(batch.column("hot"), 1)).to_pylist():
             data = np.frombuffer(r["content"], np.uint8)
             a = np.arange(len(data) - DEPTH + 1)
             h = B.range_hash(B.prefix_hash(data), a, a + DEPTH).view(np.int64)
             n = len(a)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, r["choice"])), pa.array(np.full(n, r["span"])), pa.array(a.astype(np.int32)), pa.array(h), pa.array(np.full(n, r["least"]))], ["choice", "span", "j", "h", "least"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, r["choice"])), pa.array(np.full(n, r["span"])), pa.array(a.astype(np.int32)), pa.array(h), pa.array(np.full(n, r["least"])), pa.array([r["holders"], *[None] * (n - 1)], pa.list_(pa.int64()))], ["choice", "span", "j", "h", "least", "holders"])
 
 
 _KEPT = "k bigint, n_bytes bigint, starts array<bigint>, ends array<bigint>, kept binary"
@@ -335,40 +338,48 @@ _KEPT = "k bigint, n_bytes bigint, starts array<bigint>, ends array<bigint>, kep
 def _cut(tasks: int, carried: list[str]):
     def cut(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
         b = Block(docs, tasks)
-        least, several = b.least.copy(), np.zeros(len(b.least), bool)
-        minima: dict[tuple[int, int], np.ndarray] = {}
-        for r in answers.to_pylist():
-            if r["at"] is None:
-                minima[r["choice"], r["span"]] = np.frombuffer(r["least"], np.int64)
-                continue
-            i = b.bounds[r["task"]] + np.frombuffer(r["at"], np.uint32).astype(np.int64)
-            least[i] = _unpack(r["least"], 8).view(np.int64)
-            several[i] = np.frombuffer(r["code"], np.uint8) >= _SEVERAL
-        runs = b.runs
-        cover: list[list[tuple[int, int]]] = [[] for _ in runs.texts]
-        doc = b.docs[runs.text] if len(runs.text) else np.zeros(0, np.int64)
-        item_least = least[b.item] if len(b.item) else doc
-        for i in np.flatnonzero((item_least < doc) & ~(several[b.item] if len(b.item) else doc > 0)):
-            cover[runs.text[i]].append((int(runs.first[i]), int(runs.first[i] + runs.count[i] - 1 + DEPTH)))
-        for i in np.flatnonzero(several[b.item]) if len(b.item) else ():
-            k = b.item[i]
-            hit = np.flatnonzero(minima[int(b.choice[k]), int(b.span[k])] < doc[i])
-            for a in hit.tolist():
-                cover[runs.text[i]].append((int(runs.first[i]) + a, int(runs.first[i]) + a + DEPTH))
-        merged = [_merged(c) for c in cover]
+        runs, n_items = b.runs, len(b.least)
+        least, several = b.least.copy(), np.zeros(n_items, bool)
+        told = answers.filter(answers.column("at").is_valid())
+        for task, at, codes, values in zip(*(told.column(c).to_pylist() for c in ("task", "at", "code", "least")), strict=True):
+            i = b.bounds[task] + np.frombuffer(at, np.uint32).astype(np.int64)
+            least[i] = _unpack(values, 8).view(np.int64)
+            several[i] = np.frombuffer(codes, np.uint8) >= _SEVERAL
+        # minima of the windows of items whose choice has several spans, end to end
+        back = answers.filter(answers.column("at").is_null())
+        minima = dict(zip(zip(back.column("choice").to_pylist(), back.column("span").to_pylist(), strict=True), back.column("least").to_pylist(), strict=True))
+        items = np.flatnonzero(several)
+        each = [np.frombuffer(minima[k], np.int64) for k in zip(b.choice[items].tolist(), b.span[items].tolist(), strict=True)]
+        begin = np.zeros(n_items, np.int64)
+        begin[items] = np.cumsum([0, *map(len, each)])[:-1]
+        flat = np.concatenate(each) if each else np.zeros(0, np.int64)
+        # covered bytes of all texts end to end, from the starts and ends of runs of repeated windows
+        base = np.concatenate([[0], np.cumsum([len(t) for t in runs.texts])]).astype(np.int64)
+        change = np.zeros(int(base[-1]) + 1, np.int32)
+        if len(runs.text):
+            doc, place = b.docs[runs.text], base[runs.text] + runs.first
+            sure = np.flatnonzero((least[b.item] < doc) & ~several[b.item])
+            np.add.at(change, place[sure], 1)
+            np.add.at(change, place[sure] + runs.count[sure] - 1 + DEPTH, -1)
+            many = np.flatnonzero(several[b.item])
+            count = runs.count[many]
+            step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            hit = flat[np.repeat(begin[b.item[many]], count) + step] < np.repeat(doc[many], count)
+            at = (np.repeat(place[many], count) + step)[hit]
+            np.add.at(change, at, 1)
+            np.add.at(change, at + DEPTH, -1)
+        covered = np.cumsum(change[:-1]) > 0
         out: dict[str, list] = {"k": [], "n_bytes": [], "starts": [], "ends": [], "kept": []}
         for i, t in enumerate(b.rows):
             k = b.of[i]
-            if k < 0:
-                spans: list[tuple[int, int]] = []
+            if k < 0 or len(t) < DEPTH:
+                gone = np.zeros(len(t), bool)
             elif b.keys[i] > b.docs[k]:
-                spans = [(0, len(t))] if len(t) >= DEPTH else []
+                gone = np.ones(len(t), bool)
             else:
-                spans = merged[k]
-            keep = np.ones(len(t), bool)
-            for a, e in spans:
-                keep[a:e] = False
-            for name, x in zip(out, (None if b.null[i] else int(b.keys[i]), len(t), [a for a, _ in spans], [e for _, e in spans], t[keep].tobytes()), strict=True):
+                gone = covered[base[k] : base[k + 1]]
+            edge = np.flatnonzero(np.diff(gone.view(np.int8), prepend=0, append=0))
+            for name, x in zip(out, (None if b.null[i] else int(b.keys[i]), len(t), edge[::2], edge[1::2], t[~gone].tobytes() if len(edge) else t.tobytes()), strict=True):
                 out[name].append(x)
         table = _rows(_KEPT, out)
         for c in carried:
@@ -378,16 +389,6 @@ def _cut(tasks: int, carried: list[str]):
     return cut
 
 
-def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, e in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], e))
-        else:
-            out.append((a, e))
-    return out
-
-
 def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", carry: tuple[str, ...] = (), block_rows: int = 2000, hot_spans: int = HOT_SPANS) -> DataFrame:
     """key, n_bytes, starts, ends, kept, and the columns carry, for each row of df.
 
@@ -403,11 +404,12 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", carry
     blocks, tasks = max(least, math.ceil(n / block_rows)), max(least, math.ceil(n / (4 * block_rows)))
     docs = df.select(F.col(key).cast("bigint").alias("k"), F.coalesce(F.encode(F.col(text).cast("string"), "UTF-8"), F.lit(b"")).alias("t"), *[F.col(c).alias(f"c_{c}") for c in carry])
     docs = docs.withColumn("block", F.pmod(F.xxhash64("k"), F.lit(blocks))).repartition(blocks, "block")
-    answers = docs.groupBy("block").applyInArrow(_send(tasks), _SENT).groupBy("task").applyInArrow(_answer(hot_spans), _ANSWER)
-    asked = answers.where("holders is not null")
-    shown = docs.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(_show(tasks), _SPANS)
-    usual = shown.where("hot = 0").groupBy(F.pmod(F.xxhash64("choice"), F.lit(tasks))).applyInArrow(_sort, _BACK)
-    windows = shown.where("hot = 1").select("choice", "span", "least", "content").mapInArrow(_windows, "choice bigint, span bigint, j int, h bigint, least bigint")
+    # answers and shown are read by several branches: each is dealt once, with all its columns, so that
+    # the branches share that exchange
+    answers = docs.groupBy("block").applyInArrow(_send(tasks), _SENT).groupBy("task").applyInArrow(_answer(hot_spans), _ANSWER).repartition(blocks, "block")
+    shown = docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_show(tasks), _SPANS).withColumn("deal", F.pmod(F.xxhash64("choice"), F.lit(tasks))).repartition(tasks, "deal")
+    usual = shown.groupBy("deal").applyInArrow(_sort, _BACK)
+    windows = shown.mapInArrow(_windows, "choice bigint, span bigint, j int, h bigint, least bigint, holders array<bigint>")
     minima = windows.groupBy("choice", "h").agg(F.min("least").alias("m"))
     by_span = windows.join(minima, ["choice", "h"]).groupBy("choice", "span").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "m"))), lambda x: x["m"]).alias("m"))
 
@@ -416,11 +418,11 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", carry
             rows = batch.to_pylist()
             yield pa.RecordBatch.from_arrays([pa.array([r["block"] for r in rows], pa.int64()), pa.array([r["choice"] for r in rows], pa.int64()), pa.array([r["span"] for r in rows], pa.int64()), pa.array([np.array(r["m"], np.int64).tobytes() for r in rows], pa.binary())], ["block", "choice", "span", "least"])
 
-    holders = shown.where("hot = 1").select("choice", "span", F.explode("holders").alias("block"))
+    holders = windows.select("choice", "span", F.explode("holders").alias("block"))
     hot = holders.join(by_span, ["choice", "span"]).select("block", "choice", "span", "m").mapInArrow(joined, _BACK)
     null = lambda name, kind: F.lit(None).cast(kind).alias(name)
     back = usual.unionByName(hot).select("block", null("task", "int"), null("at", "binary"), null("code", "binary"), "least", null("holders", "array<bigint>"), "choice", "span")
-    told = answers.select("block", "task", "at", "code", "least", null("holders", "array<bigint>"), "choice", "span").unionByName(back)
+    told = answers.unionByName(back)
     extra = [f for f in docs.schema.fields if f.name.startswith("c_")]
     schema = ", ".join([_KEPT, *(f"`{f.name}` {f.dataType.simpleString()}" for f in extra)])
     out = docs.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_cut(tasks, [f.name for f in extra]), schema)
