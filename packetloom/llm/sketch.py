@@ -102,11 +102,11 @@ def fingerprint_documents(df: DataFrame, text: str = "text", key: str = "doc_id"
     order = successors(order, "at", "n")
     id_of = lambda c: F.xxhash64(F.col(c)["at"] if c == "_prev" else F.col(c))
     order = order.select(id_of("at").alias("id"), id_of("_prev").alias("prev"), F.floor(F.col("_prev")["n"] / 4).cast("int").alias("want"))
-    own = base.select(F.xxhash64(F.struct("k", "h")).alias("id"), "k", "t", sketch(F.col("t")).alias("fp"))
-    # one exchange of texts and fingerprints by id, which both sides below read
-    placed = own.join(order, "id")
-    handed = placed.select(F.col("prev").alias("id"), F.expr("substring(t, 1, want)").alias("head"), F.col("fp").alias("next_fp")).groupBy("id").agg(F.max(F.struct("head", "next_fp")).alias("_n"))
+    # the texts are dealt once, by id: both branches below read all columns of that exchange
+    own = base.select(F.xxhash64(F.struct("k", "h")).alias("id"), "k", "t")
+    handed = own.join(order, "id").select(F.col("prev").alias("id"), "k", F.expr("substring(t, 1, want)").alias("head"), sketch(F.col("t")).alias("next_fp"))
+    handed = handed.groupBy("id").agg(F.max_by(F.struct("head", "next_fp"), F.struct("k")).alias("_n"))
     n = F.length("t")
-    joined = placed.join(handed, "id").withColumn("edited", F.concat(F.expr("substring(t, 1, length(t) - cast(floor(length(t) / 4) as int))"), F.col("_n.head")))
+    joined = own.join(handed, "id").withColumn("fp", sketch(F.col("t"))).withColumn("edited", F.concat(F.expr("substring(t, 1, length(t) - cast(floor(length(t) / 4) as int))"), F.col("_n.head")))
     out = joined.select(F.col("k").alias(key), n.cast("long").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), F.col("fp").alias("fingerprint"), sketch(F.col("edited")).alias("edited_fingerprint"), F.col("_n.next_fp").alias("next_fp"))
     return out.withColumns({"near_edited": likeness(F.col("fingerprint"), F.col("edited_fingerprint")), "near_next": likeness(F.col("fingerprint"), F.col("next_fp"))}).drop("next_fp")
