@@ -170,6 +170,8 @@ def fit(samples: list[tuple[np.ndarray, np.ndarray, int, str]], dim: int = 12, f
                         dx = back[n][live, None] * p[f"K{width}"][j][:, live].T
                         np.add.at(g["E"], w[at], dx)
                         np.add.at(g["S"], s[at], dx)
+            # a text without a word, of class 0, with each batch
+            g["c"] += 4 / len(batch) / (1 + np.exp(-p["c"][0]))
             g["E"][0] = g["S"][0] = 0
             step += 1
             lr = rate * (1 - 0.9 * epoch / epochs) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
@@ -186,9 +188,12 @@ def fit(samples: list[tuple[np.ndarray, np.ndarray, int, str]], dim: int = 12, f
             model.stem_maps.append(p["S"] @ p[f"K{width}"][j])
     logit = np.array([float(model.logit_of(model.pooled(w, s, np.array([0, len(w)])))[0]) for w, s, _ in (rows[k] for k in held)])
     y, group = np.array([samples[k][2] for k in held]), np.array([samples[k][3] for k in held])
-    model.scale[""] = _cut(logit, y, threshold) or (1.0, float(np.log(threshold / (1 - threshold))))
+    # texts without a word, a tenth as many as there are clean ones, count as clean for every language
+    blank = lambda labels: max(2, int((labels == 0).sum()) // 10)
+    with_blank = lambda z, labels: (np.append(z, np.full(blank(labels), model.out_bias)), np.append(labels, np.zeros(blank(labels), int)))
+    model.scale[""] = _cut(*with_blank(logit, y), threshold) or (1.0, float(np.log(threshold / (1 - threshold))))
     for lang in sorted(set(group) - {""}):
-        if found := _cut(logit[group == lang], y[group == lang], threshold):
+        if found := _cut(*with_blank(logit[group == lang], y[group == lang]), threshold):
             model.scale[lang] = found
     return model
 
