@@ -14,6 +14,9 @@ from packetloom.llm._shared import written
 MAX_LOCAL_SOURCES = 100_000
 #: Blocks of a source at most; blocks grow beyond.
 MAX_BLOCKS = 4096
+#: Plans of sources of up to so many bytes are broadcast; beyond, both sides are dealt by source and one of SALTS.
+MAX_BROADCAST = 16 << 20
+SALTS = 64
 
 
 def bisect(good: Callable[[float], bool], low: float = 0.0, high: float = 1.0, steps: int = 50) -> float:
@@ -66,6 +69,14 @@ def exponent(tokens: DataFrame, budget: float, target_entropy: float | None, max
     return alpha, _summary(tokens, local, alpha, budget)[0]
 
 
+def _planned(rows: DataFrame, plan: DataFrame, small: bool) -> DataFrame:
+    """rows with the plan of their source, never dealt by source alone: one may have a third of all rows."""
+    if small:
+        return rows.join(F.broadcast(plan), "s")
+    salted = plan.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("k", "n"), F.lit(SALTS)).cast("int")).join(salted, ["s", "salt"]).drop("salt")
+
+
 def mix(
     df: DataFrame,
     text: str = "text",
@@ -93,8 +104,9 @@ def mix(
     counted = df.select(F.col(key).alias("k"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("s"), F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("bigint").alias("n"))
     rows = written(counted, "tokens")
     sources = rows.groupBy("s").agg(F.sum("n").alias("n"))
-    whole = rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
-    budget = whole if budget is None else budget
+    # four numbers of 8 bytes come with each name
+    known = sources.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.octet_length("s") + 32), F.lit(0)).alias("bytes")).first()
+    budget = known.n if budget is None else budget
     alpha, total = exponent(sources, float(budget), target_entropy, max_repeats)
     quota = F.when(F.col("n") > 0, F.pow(F.col("n").cast("double"), F.lit(alpha)) / total * budget).otherwise(F.lit(0.0))
     plan = sources.withColumn("quota", F.floor(quota + 1e-6)).select(
@@ -103,7 +115,7 @@ def mix(
         F.when(F.col("n") > 0, F.col("quota") % F.col("n")).otherwise(F.lit(0)).cast("bigint").alias("rest"),
         F.least(F.lit(MAX_BLOCKS), F.greatest(F.lit(1), F.ceil(F.col("n") / block_tokens))).cast("bigint").alias("blocks"),
     )
-    dealt = rows.join(plan, "s").withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "k"), "blocks"))
+    dealt = _planned(rows, plan, known.bytes <= MAX_BROADCAST).withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "k"), "blocks"))
     # where each block of the last epoch ends, in that epoch's order of blocks
     order = Window.partitionBy("s").orderBy(F.xxhash64(F.lit(seed), "epochs", "block"), "block").rowsBetween(Window.unboundedPreceding, 0)
     ends = dealt.groupBy("s", "block", "epochs").agg(F.sum("n").alias("sum")).withColumn("end", F.sum("sum").over(order)).select("s", "block", "end", (F.col("end") - F.col("sum")).alias("begin"))

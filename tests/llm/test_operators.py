@@ -179,6 +179,15 @@ def test_mixing(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_mixing_with_plans_too_large_to_broadcast(spark, monkeypatch):
+    r = random.Random(8)
+    rows = [(n, prose(r.randint(1, 9), r), "a" if n % 3 else f"s{n % 40}") for n in range(400)] + [(None, None, None), (7, "", "a"), (7, "", "a")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    small = sorted(map(str, mixing.mix(df, block_tokens=50).collect()))
+    monkeypatch.setattr(mixing, "MAX_BROADCAST", 0)
+    assert sorted(map(str, mixing.mix(df, block_tokens=50).collect())) == small
+
+
 # --- models ----------------------------------------------------------------------------------
 def labelled(spark):
     r = random.Random(8)
