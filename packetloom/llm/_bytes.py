@@ -109,9 +109,9 @@ def range_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     return mixed((sums[end] - sums[start]) * powers(len(sums))[1][start] + (end - start).astype(np.uint64))
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray = IS_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of words, and for each text the index of its first word (and one more)."""
-    word = IS_WORD[data]
+    word = is_word[data]
     begins = word.copy()
     begins[1:] &= ~word[:-1]
     edge = offsets[:-1][offsets[:-1] < len(data)]

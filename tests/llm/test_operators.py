@@ -8,7 +8,9 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from packetloom.llm import chat, components, decontaminate, langid, lm, mixing, simhash, sketch, suffixes, toxicity, urls
+import corpus_pipeline
+from packetloom.llm import chat, components, decontaminate, jaccard, langid, lm, mixing, simhash, sketch, suffixes, toxicity, urls
+from packetloom.llm._shared import written
 
 rng = random.Random(3)
 WORDS = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(400)]
@@ -89,6 +91,51 @@ def test_components_of_a_path_and_a_star(spark):
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 150)}
 
 
+# --- similar texts ---------------------------------------------------------------------------
+def slow_shingles(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def slow_roots(texts):
+    sets, label = [slow_shingles(t) for t in texts], list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or 5 * len(a & b) >= 4 * len(a | b):
+                label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
+    return label
+
+
+def edited():
+    r = random.Random(12)
+    texts = [prose(r.randint(1, 300), r) for _ in range(60)] + [None, "", " \n", "one two", "ONE  two", "one two three"]
+    for k in range(60):
+        words = texts[k].split()
+        for at in r.sample(range(len(words)), min(len(words), len(words) * r.randint(1, 9) // 200)):
+            words[at] = "edit"
+        texts.append(" ".join(words))
+    return texts
+
+
+@pytest.mark.parametrize("bucket", [2048, 2])
+def test_similar_texts(spark, bucket):
+    texts = edited()
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    marked = written(jaccard.marked(rows), "marked")
+    roots = {r.set_id: r.root for r in jaccard.classes(marked, bucket=bucket).collect()}
+    ids = {r.doc_id: r.set_id for r in marked.select("doc_id", "set_id").collect()}
+    mine, want = [roots.get(ids[i], ids[i]) for i in range(len(texts))], slow_roots(texts)
+    assert all((mine[i] == mine[j]) == (want[i] == want[j]) for i in range(len(texts)) for j in range(i))
+
+
+def test_pipeline_drops_edited_copies(spark):
+    texts = edited()
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(texts)] + [(None, texts[0], "en", "a", 1)] * 2, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = [r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    want = slow_roots(texts)
+    assert sorted(k for k in kept if k is not None) == [i for i in range(len(texts)) if want[i] == i] and kept.count(None) == 2
+
+
 # --- suffixes --------------------------------------------------------------------------------
 def slow_repeats(rows):
     raw = [(k, (t or "").encode()) for k, t in rows]
