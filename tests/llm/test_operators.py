@@ -136,6 +136,12 @@ def test_pipeline_drops_edited_copies(spark):
     assert sorted(k for k in kept if k is not None) == [i for i in range(len(texts)) if want[i] == i] and kept.count(None) == 2
 
 
+def test_pipeline_keeps_other_texts_of_a_repeated_id(spark):
+    a, b, c = (prose(40, random.Random(k)) for k in (1, 2, 3))
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in [(5, a), (5, b), (5, b), (2, b), (7, a), (7, c)]], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert sorted((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == sorted([(5, a), (2, b), (7, c)])
+
+
 # --- suffixes --------------------------------------------------------------------------------
 def slow_repeats(rows):
     raw = [(k, (t or "").encode()) for k, t in rows]
