@@ -55,22 +55,25 @@ def runs(offsets: np.ndarray, limit: int = PIECE) -> Iterator[tuple[int, int]]:
 def pieces(data: np.ndarray, overlap_words: int = 0, limit: int = PIECE) -> Iterator[np.ndarray]:
     """A text in pieces that end where a word ends; each begins overlap_words words early.
 
-    A run of word bytes longer than half of limit is cut where limit falls.
+    A run of word bytes longer than half of limit is cut where limit falls. A piece with fewer words
+    than twice overlap_words grows until it has them, so that the next can begin early enough.
     """
-    start, n = 0, len(data)
-    while n - start > limit:
-        cut = start + limit
-        gaps = np.flatnonzero(~IS_WORD[data[start + limit // 2 : cut]])
+    start, size, n = 0, limit, len(data)
+    while n - start > size:
+        cut = start + size
+        gaps = np.flatnonzero(~IS_WORD[data[start + size // 2 : cut]])
         if len(gaps):
-            cut = start + limit // 2 + int(gaps[-1]) + 1
-        yield data[start:cut]
+            cut = start + size // 2 + int(gaps[-1]) + 1
         begin = cut
         if overlap_words:
-            word = IS_WORD[data[max(start, cut - limit // 4) : cut]]
+            word = IS_WORD[data[start:cut]]
             begins = np.flatnonzero(word[1:] & ~word[:-1]) + 1
-            if len(begins) >= overlap_words:
-                begin = max(start, cut - limit // 4) + int(begins[-overlap_words])
-        start = max(begin, start + 1)
+            if len(begins) < 2 * overlap_words:
+                size *= 2
+                continue
+            begin = start + int(begins[-overlap_words])
+        yield data[start:cut]
+        start, size = begin, limit
     yield data[start:]
 
 

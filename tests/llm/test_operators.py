@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from packetloom.llm import chat, components, decontaminate, jaccard, langid, lm, mixing, simhash, sketch, suffixes, toxicity, urls
+from packetloom.llm import _bytes as B
 from packetloom.llm._shared import written
 
 rng = random.Random(3)
@@ -193,6 +194,28 @@ def test_decontamination(spark):
     assert decontaminate.find_leaks(d, i.limit(0)).count() == 0 and decontaminate.find_leaks(d.limit(0), i).count() == 0
 
 
+@pytest.mark.parametrize("gap", [" " * 400_000, " " + "x" * 3_000_000 + " "])
+def test_decontamination_across_a_long_gap(spark, gap):
+    r = random.Random(15)
+    question, answer = prose(30, r) + ".", prose(30, r)
+    text = prose(300_000, r)[:800_000] + " " + question + gap + answer + " " + prose(200_000, r)
+    d, i = spark.createDataFrame([(1, text)], "doc_id bigint, text string"), spark.createDataFrame([(4, question + "\n" + answer)], "item_id bigint, text string")
+    assert [x.item_id for x in decontaminate.find_leaks(d, i).collect()] == [4]
+    assert decontaminate.without_leaks(d, i).count() == 0
+
+
+@pytest.mark.parametrize("words", [3, 40])
+def test_pieces_hold_each_run_of_words(words):
+    r = random.Random(16)
+    text = "".join(r.choice(WORDS) + " " * r.choice([1, 1, 1, 1, 90]) for _ in range(600)).encode()
+    own = text.split()
+    runs = {tuple(own[k : k + words]) for k in range(len(own) - words + 1)}
+    for piece in B.pieces(np.frombuffer(text, np.uint8), words, 500):
+        p = piece.tobytes().split()
+        runs -= {tuple(p[k : k + words]) for k in range(len(p) - words + 1)}
+    assert not runs
+
+
 def test_block_max_wand_finds_all_above():
     r = random.Random(6)
     ix = decontaminate.build([(i, prose(r.randint(3, 30), r)) for i in range(300)])
