@@ -257,9 +257,8 @@ _HIT = "case when s0 = s1 then f0 = s0 and f1 = f0 else f1 > f0 and f0 < s1 and
 
 
 def _ranges(p: DataFrame) -> tuple[DataFrame, DataFrame]:
-    some = p.where("packet_id % 10 = 0").select("packet_id")
-    s = some.selectExpr("packet_id as selection_id", "packet_id", "packet_id % 40 as start", "packet_id % 7 as length")
-    f = some.selectExpr("packet_id", "explode(sequence(0L, 23L)) as field_id").selectExpr("packet_id", "field_id", "field_id % 4 as depth", "field_id * 5 % 37 as start", "field_id * field_id % 9 as length")
+    s = p.selectExpr("packet_id as selection_id", "packet_id", "packet_id % 40 as start", "packet_id % 7 as length")
+    f = p.selectExpr("packet_id", "explode(sequence(0L, 23L)) as field_id").selectExpr("packet_id", "field_id", "field_id % 4 as depth", "field_id * 5 % 37 as start", "field_id * field_id % 9 as length")
     return s, f
 
 
