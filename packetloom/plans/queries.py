@@ -244,9 +244,9 @@ def _trees(p: DataFrame) -> DataFrame:
 
 
 R.add("layer_tree", lambda p: T.table(_trees(p), "layers").select("packet_id", "layer_index", "protocol", "start", "length").where("protocol <> 'dns'").select("packet_id", F.col("layer_index").cast("bigint").alias("layer_index"), "protocol", F.col("start").cast("bigint").alias("start"), F.col("length").cast("bigint").alias("length")), _sql(_WIRE, select="select packet_id, l.layer_index::bigint as layer_index, l.protocol as protocol, l.start::bigint as start, l.length::bigint as length from (select packet_id, unnest(list_filter([{'layer_index': 0, 'protocol': 'ethernet', 'start': 0, 'length': 14}, case when tagged then {'layer_index': 1, 'protocol': 'vlan', 'start': 12, 'length': 6} end, {'layer_index': 1 + tagged::int, 'protocol': case when family = 4 then 'ipv4' else 'ipv6' end, 'start': n, 'length': net}, {'layer_index': 2 + tagged::int, 'protocol': protocol, 'start': n + net, 'length': case when protocol = 'tcp' then 20 else 8 end}], lambda x: x is not null)) as l from w)"))
-R.add("string_dictionary", lambda p: C.dictionary(T.table(_trees(p.where("protocol = 'tcp' and family = 4")), "fields").where("depth > 0 and layer_index = 0")), "select unnest(['destination', 'source', 'ether_type']) as name")
+R.add("string_dictionary", lambda p: C.dictionary(T.table(_trees(p), "fields")), "select unnest(['destination', 'source', 'ether_type']) as name")
 R.add("protocol_diagnostics", lambda p: T.table(_trees(p), "diagnostics").select("packet_id", F.col("code").cast("bigint").alias("code"), "severity"))
-R.add("field_preorder", lambda p: C.preorder(T.table(_trees(p), "fields"), 1024).where("layer_index = 0").select("packet_id", F.col("position"), "name"), _sql(_WIRE, select="select packet_id, unnest([0, 1, 2, 3])::bigint as position, unnest(['ethernet', 'destination', 'source', 'ether_type']) as name from w"))
+R.add("field_preorder", lambda p: C.preorder(T.table(_trees(p), "fields"), 1024).select("packet_id", F.col("position"), "name"), _sql(_WIRE, select="select packet_id, unnest([0, 1, 2, 3])::bigint as position, unnest(['ethernet', 'destination', 'source', 'ether_type']) as name from w"))
 
 _MAGICS = ["d4c3b2a1", "a1b2c3d4", "4d3cb2a1", "a1b23c4d", "0a0d0d0a1c0000004d3c2b1a", "0a0d0d0a1c00000000000000", "0a0d0d0a", "7f454c46"]
 

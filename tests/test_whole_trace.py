@@ -35,3 +35,16 @@ def test_selections_of_all_packets(spark, packets):
     assert got == {(p, k): f for p, fields in want.items() for k, f in enumerate(fields)}
     assert {r.selection_id: r.n for r in R.queries["range_overlap_join"](spark, SF).collect()} == {p: len(f) for p, f in want.items() if f}
     assert {r.packet_id for r in R.queries["selection_out_of_bounds"](spark, SF).collect()} == {p.packet_id for p in packets if p.packet_id % 40 + p.packet_id % 7 * 20 > p.captured_length}
+
+
+def test_fields_of_all_layers(spark, packets):
+    names = defaultdict(dict)
+    for r in R.queries["field_preorder"](spark, SF).collect():
+        names[r.packet_id][r.position] = r.name
+    assert all(sorted(own) == list(range(len(own))) for own in names.values())
+    for p in packets:
+        want = ["ethernet", *(["vlan"] if p.packet_id % 11 == 0 else []), f"ipv{p.family}", p.protocol, *(["dns"] if p.protocol == "udp" and 53 in (p.src_port, p.dst_port) else [])]
+        assert [names[p.packet_id][k] for k in sorted(names[p.packet_id]) if names[p.packet_id][k] in LAYERS] == want
+    found = [r.name for r in R.queries["string_dictionary"](spark, SF).collect()]
+    assert sorted(found) == sorted({n for own in names.values() for n in own.values()})
+    assert {"vlan_identifier", "hop_limit", "sequence_number", "checksum", "transaction_id"} <= set(found)
