@@ -6,8 +6,8 @@ it: their embeddings, each through the matrix of its place, summed and squashed,
 scores the sum of the log-probabilities of its tokens, each masked in turn.
 
 Counts cover every word of the corpus. Training goes through all of it: in each round each task starts
-from the same weights and takes stochastic gradient steps on every eighth position of all its texts;
-the weights of all tasks are averaged by tokens, first in groups on the executors.
+from the same weights and takes stochastic gradient steps on its share of the positions of all its
+texts, so that each token of the corpus is a target once over the rounds; the weights of all tasks are averaged by tokens, first in groups on the executors.
 """
 
 from __future__ import annotations
@@ -29,9 +29,10 @@ PAD = FREQUENT + RARE
 SIDE = 2
 DIM = 16
 ROUNDS = 2
-EVERY = 8
 #: Texts' words are taken up to so many at a time.
 CHUNK = 1 << 14
+#: Places scored at a time.
+PART = 1 << 10
 _PLACES = [d for d in range(-SIDE, SIDE + 1) if d]
 
 
@@ -89,27 +90,36 @@ def context(token: np.ndarray, row: np.ndarray) -> np.ndarray:
 
 def step(w: dict[str, np.ndarray], around: np.ndarray, token: np.ndarray, rate: float) -> float:
     """One gradient step in place; the mean loss before it."""
-    x = w["E"][around]
-    h = np.tanh(np.einsum("nkd,kde->ne", x, w["A"]))
-    z = h @ w["O"] + w["b"]
-    z -= z.max(axis=1, keepdims=True)
-    p = np.exp(z)
+    n, k = around.shape
+    side = w["A"].reshape(k * DIM, DIM)
+    x = w["E"][around].reshape(n, k * DIM)
+    h = np.tanh(x @ side)
+    p = h @ w["O"] + w["b"]
+    p -= p.max(axis=1, keepdims=True)
+    np.exp(p, out=p)
     p /= p.sum(axis=1, keepdims=True)
-    rows = np.arange(len(token))
+    rows = np.arange(n)
     loss = float(-np.log(p[rows, token] + 1e-12).mean())
     p[rows, token] -= 1
-    p *= np.float32(rate / len(token))
+    p *= np.float32(rate / n)
     dh = (p @ w["O"].T) * (1 - h * h)
     w["O"] -= h.T @ p
     w["b"] -= p.sum(axis=0)
-    dx = np.einsum("ne,kde->nkd", dh, w["A"])
-    w["A"] -= np.einsum("nkd,ne->kde", x, dh)
-    flat, width = around.ravel(), dx.shape[2]
-    for d in range(width):
-        w["E"][:, d] -= np.bincount(flat, weights=dx[:, :, d].ravel(), minlength=PAD + 1).astype(np.float32)
+    dx = (dh @ side.T).reshape(n * k, DIM)
+    side -= x.T @ dh
+    flat = around.ravel()
+    order = np.argsort(flat, kind="stable")
+    first = np.flatnonzero(np.diff(flat[order], prepend=-1))
+    w["E"][flat[order[first]]] -= np.add.reduceat(dx[order], first, axis=0)
     return loss
 
 
+def targets(row: np.ndarray, r: int, rounds: int) -> np.ndarray:
+    """Places of a run of texts that round r learns from: of each text every rounds-th, from another one each round."""
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return np.flatnonzero(place % rounds == r)
+
+
 def _flat(w: dict[str, np.ndarray]) -> np.ndarray:
     return np.concatenate([w[k].ravel() for k in sorted(w)])
 
@@ -144,7 +154,7 @@ def train(df: DataFrame, text: str = "text", rounds: int = ROUNDS, rate: float =
             for batch in batches:
                 for words, row in _texts(batch.column(0)):
                     token = known[_buckets(words)]
-                    at = slice(r * 3 % EVERY, None, EVERY)
+                    at = targets(row, r, rounds)
                     waiting.append((context(token, row)[at], token[at]))
                     size += len(waiting[-1][1])
                     seen += len(token)
@@ -173,15 +183,15 @@ def log_probabilities(w: dict[str, np.ndarray], token: np.ndarray, row: np.ndarr
     """Of each token, given the others."""
     by_place = [w["E"] @ w["A"][k] for k in range(len(_PLACES))]
     around, out = context(token, row), np.zeros(len(token))
-    for a in range(0, len(token), CHUNK):
-        part = around[a : a + CHUNK]
+    for a in range(0, len(token), PART):
+        part = around[a : a + PART]
         h = by_place[0][part[:, 0]].copy()
         for k in range(1, len(_PLACES)):
             h += by_place[k][part[:, k]]
         z = np.tanh(h) @ w["O"] + w["b"]
-        top = z.max(axis=1, keepdims=True)
-        mine = z[np.arange(len(part)), token[a : a + CHUNK]] - top[:, 0]
-        out[a : a + CHUNK] = mine - np.log(np.exp(z - top).sum(axis=1))
+        z -= z.max(axis=1, keepdims=True)
+        mine = z[np.arange(len(part)), token[a : a + PART]]
+        out[a : a + PART] = mine - np.log(np.exp(z, out=z).sum(axis=1))
     return out
 
 

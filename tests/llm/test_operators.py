@@ -317,6 +317,13 @@ def test_lm(docs, none):
     assert abs(p - 1) < 1e-4
 
 
+def test_lm_learns_from_every_place():
+    row = np.repeat([0, 2, 3, 7], [1, 5, 2, 30])
+    for rounds in (1, 2, 3):
+        assert sorted(np.concatenate([lm.targets(row, r, rounds) for r in range(rounds)]).tolist()) == list(range(len(row)))
+    assert lm.targets(row, 0, lm.ROUNDS).tolist()[:2] == [0, 1]
+
+
 def test_chat(spark):
     r = random.Random(10)
     rows = [(c, t, role, (prose(5, r) + "?") if role == "user" else prose(30, r)) for c in range(60) for t, role in enumerate(["user", "assistant"] * r.randint(1, 4))]
