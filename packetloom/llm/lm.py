@@ -1,11 +1,13 @@
 """LM scoring: masked pseudo-likelihood of a bidirectional window network, trained in numpy.
 
-A token is the class of a word: one of the FREQUENT most frequent word hashes of the corpus, or one of
-RARE classes by hash for all others. The network predicts a token from the SIDE tokens on both sides of
-it: their embeddings, each through the matrix of its place, summed and squashed, then a softmax. A text
-scores the sum of the log-probabilities of its tokens, each masked in turn.
-
-Counts cover every word of the corpus. Training goes through all of it: in each round each task starts
+A token is the class of a word: one of the FREQUENT most frequent words of the corpus, or one of RARE
+classes by hash for all others. The network predicts a token from the SIDE tokens on both sides of it:
+their embeddings, each through the matrix of its place, summed and squashed, then a softmax. The word
+is then predicted within its class, by its count in the corpus with one added, a word that is not there
+with one. A text scores the sum of the log-probabilities of its words, each masked in turn.
+
+Every distinct word of the corpus is counted, in a table that grows with it; texts meet the counts by
+word, in parts of all words. Training goes through all of it: in each round each task starts
 from the same weights and takes stochastic gradient steps on its share of the positions of all its
 texts, so that each token of the corpus is a target once over the rounds; the weights of all tasks are averaged by tokens, first in groups on the executors.
 """
@@ -14,16 +16,17 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from packetloom.llm import _bytes as B
-from packetloom.llm.toxicity import hashed_words
+from packetloom.llm._shared import written
 
-BUCKETS = 1 << 16
 FREQUENT, RARE = 192, 64
 PAD = FREQUENT + RARE
 SIDE = 2
@@ -33,25 +36,58 @@ ROUNDS = 2
 CHUNK = 1 << 14
 #: Places scored at a time.
 PART = 1 << 10
+#: Distinct words a task holds before it sends their counts.
+HELD = 1 << 20
 _PLACES = [d for d in range(-SIDE, SIDE + 1) if d]
 
 
-def _buckets(words: np.ndarray) -> np.ndarray:
-    return (words >> np.uint64(48)).astype(np.int64)
+@dataclass
+class Model:
+    frequent: np.ndarray  #: the most frequent words, by count; a word's place is its class
+    w: dict[str, np.ndarray]
+    counts: DataFrame  #: word, n: every word of the corpus
+    sizes: np.ndarray  #: of each rare class, the counts of its words and one for each, and one for words not there
+
+
+def classes(frequent: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Class of each word: its place in frequent, or one of RARE by hash."""
+    out = FREQUENT + (words >> np.uint64(48)).astype(np.int64) % RARE
+    if len(frequent):
+        order = np.argsort(frequent)
+        at = order[np.minimum(np.searchsorted(frequent, words, sorter=order), len(frequent) - 1)]
+        out = np.where(frequent[at] == words, at, out)
+    return out
+
+
+def _summed(words: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(words)
+    words = words[order]
+    first = np.flatnonzero(np.append(True, words[1:] != words[:-1])) if len(words) else np.zeros(0, np.int64)
+    return words[first], np.add.reduceat(n[order], first) if len(first) else np.zeros(0, np.int64)
 
 
 def count_words(df: DataFrame, text: str = "text") -> DataFrame:
-    """bucket, n: the words of all texts, by hash bucket. A task sends a row for each bucket it has seen."""
+    """word (hash), n: all words of all texts."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int64)
+        known, fresh, size = (np.zeros(0, np.uint64), np.zeros(0, np.int64)), [], 0
+
+        def sent() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(known[0].view(np.int64)), pa.array(known[1])], ["word", "n"])
+
         for batch in batches:
             for words, _ in _texts(batch.column(0)):
-                total += np.bincount(_buckets(words), minlength=BUCKETS)
-        full = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(total[full])], ["bucket", "n"])
+                fresh.append(_summed(words, np.ones(len(words), np.int64)))
+                size += len(fresh[-1][0])
+                if size > HELD:
+                    known, fresh, size = _summed(*(np.concatenate(c) for c in zip(known, *fresh, strict=True))), [], 0
+                    if len(known[0]) > HELD:
+                        yield sent()
+                        known = (known[0][:0], known[1][:0])
+        known = _summed(*(np.concatenate(c) for c in zip(known, *fresh, strict=True)))
+        yield sent()
 
-    return df.select(F.col(text).cast("string").alias("t")).mapInArrow(counted, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
+    return df.select(F.col(text).cast("string").alias("t")).mapInArrow(counted, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _texts(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -60,16 +96,18 @@ def _texts(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for i, j in B.runs(offsets):
         part = data[offsets[i] : offsets[j]]
         for piece in B.pieces(part) if j - i == 1 else (part,):
-            words, _, bounds = hashed_words(piece, np.array([0, len(piece)]) if j - i == 1 else offsets[i : j + 1] - offsets[i])
-            yield words, np.repeat(np.arange(i, j), np.diff(bounds))
+            low = B.LOWER[piece]
+            begin, end, bounds = B.word_spans(low, np.array([0, len(piece)]) if j - i == 1 else offsets[i : j + 1] - offsets[i])
+            yield B.range_hash(B.prefix_hash(low), begin, end), np.repeat(np.arange(i, j), np.diff(bounds))
 
 
-def vocabulary(counts: DataFrame) -> np.ndarray:
-    """Class of each bucket: the FREQUENT of the largest counts come first, the rest share RARE classes."""
-    classes = FREQUENT + np.arange(BUCKETS) % RARE
-    for k, r in enumerate(counts.orderBy(F.desc("n"), "bucket").limit(FREQUENT).collect()):
-        classes[r.bucket] = k
-    return classes
+def vocabulary(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The FREQUENT words of the largest counts, and the sizes of the rare classes."""
+    frequent = np.array([r.word for r in counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()], np.int64)
+    sizes = np.ones(RARE, np.int64)
+    for r in counts.where(~F.col("word").isin(frequent.tolist())).groupBy((F.shiftrightunsigned("word", 48) % RARE).alias("c")).agg(F.sum(F.col("n") + 1).alias("s")).collect():
+        sizes[r.c] += r.s
+    return frequent.view(np.uint64), sizes
 
 
 def start(seed: int = 5) -> dict[str, np.ndarray]:
@@ -78,13 +116,13 @@ def start(seed: int = 5) -> dict[str, np.ndarray]:
     return {k: v.astype(np.float32) for k, v in w.items()}
 
 
-def context(token: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """The tokens around each place, PAD beyond the text."""
-    out = np.full((len(token), len(_PLACES)), PAD, np.int64)
+def context(token: np.ndarray, row: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The tokens around each place of at, PAD beyond the text."""
+    out = np.full((len(at), len(_PLACES)), PAD, np.int64)
     for k, d in enumerate(_PLACES):
-        a, b = (slice(-d, None), slice(0, d)) if d < 0 else (slice(0, -d), slice(d, None))
-        same = row[a] == row[b]
-        out[a, k][same] = token[b][same]
+        near = np.clip(at + d, 0, len(token) - 1)
+        same = (row[near] == row[at]) & (near == at + d)
+        out[same, k] = token[near[same]]
     return out
 
 
@@ -133,13 +171,14 @@ def _shaped(flat: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def train(df: DataFrame, text: str = "text", rounds: int = ROUNDS, rate: float = 1.0, groups: int = 32) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-    """The vocabulary and the weights, from all texts of df. Without a word, the starting weights."""
-    classes = vocabulary(count_words(df, text))
+def train(df: DataFrame, text: str = "text", rounds: int = ROUNDS, rate: float = 1.0, groups: int = 32) -> Model:
+    """The words and the weights, from all texts of df. Without a word, the starting weights."""
+    counts = written(count_words(df, text), "words")
+    frequent, sizes = vocabulary(counts)
     spark, w = df.sparkSession, start()
     texts = df.select(F.col(text).cast("string").alias("t"))
     for r in range(rounds):
-        shared = spark.sparkContext.broadcast(pickle.dumps((classes, w)))
+        shared = spark.sparkContext.broadcast(pickle.dumps((frequent, w)))
 
         def taught(batches: Iterator[pa.RecordBatch], r: int = r, shared=shared) -> Iterator[pa.RecordBatch]:
             known, own = pickle.loads(shared.value)
@@ -153,9 +192,9 @@ def train(df: DataFrame, text: str = "text", rounds: int = ROUNDS, rate: float =
 
             for batch in batches:
                 for words, row in _texts(batch.column(0)):
-                    token = known[_buckets(words)]
+                    token = classes(known, words)
                     at = targets(row, r, rounds)
-                    waiting.append((context(token, row)[at], token[at]))
+                    waiting.append((context(token, row, at), token[at]))
                     size += len(waiting[-1][1])
                     seen += len(token)
                     if size >= CHUNK:
@@ -176,13 +215,13 @@ def train(df: DataFrame, text: str = "text", rounds: int = ROUNDS, rate: float =
         if told:
             told.sort(key=lambda x: bytes(x.w))
             w = _shaped(np.average([np.frombuffer(x.w, np.float32) for x in told], axis=0, weights=[x.n for x in told]))
-    return classes, w
+    return Model(frequent, w, counts, sizes)
 
 
 def log_probabilities(w: dict[str, np.ndarray], token: np.ndarray, row: np.ndarray) -> np.ndarray:
     """Of each token, given the others."""
     by_place = [w["E"] @ w["A"][k] for k in range(len(_PLACES))]
-    around, out = context(token, row), np.zeros(len(token))
+    around, out = context(token, row, np.arange(len(token))), np.zeros(len(token))
     for a in range(0, len(token), PART):
         part = around[a : a + PART]
         h = by_place[0][part[:, 0]].copy()
@@ -195,24 +234,80 @@ def log_probabilities(w: dict[str, np.ndarray], token: np.ndarray, row: np.ndarr
     return out
 
 
-def score(df: DataFrame, model: tuple[np.ndarray, dict[str, np.ndarray]], text: str = "text", key: str = "doc_id") -> DataFrame:
+def score(df: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, n_tokens, log_likelihood (the sum), mean_log_likelihood for each row of df, over its whole text.
 
     Null, empty and wordless texts have 0 tokens, the sum 0 and a null mean. Equal texts score alike;
     repeated rows stay; other columns are not read. A text of over a megabyte comes in pieces, at whose
     seams SIDE tokens see padding.
+
+    The network judges classes where the texts are read. A batch's rare words go to their parts, by hash,
+    where their counts are, and what each row gains there comes back to the batch.
     """
-    shared = df.sparkSession.sparkContext.broadcast(pickle.dumps(model))
+    spark = df.sparkSession
+    shared = spark.sparkContext.broadcast(pickle.dumps((model.frequent, model.w)))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     wanted = df.select(F.col(text).cast("string").alias("t"), F.col(key).alias("k"))
+    kind = wanted.schema["k"].dataType.simpleString()
+    columns = ["batch", "k", "n", "total", "row", "part", "words", "rows"]
+    schema = pa.schema([("n", pa.int64()), ("total", pa.float64()), ("row", pa.int32()), ("part", pa.int32()), ("words", pa.binary()), ("rows", pa.binary())])
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, w = pickle.loads(shared.value)
-        for batch in batches:
-            n, total = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
+        first = TaskContext.get().partitionId() << 32
+        for b, batch in enumerate(batches):
+            size, asked = batch.num_rows, []
+            n, total = np.zeros(size, np.int64), np.zeros(size)
             for words, row in _texts(batch.column("t")):
-                n += np.bincount(row, minlength=batch.num_rows)
-                total += np.bincount(row, weights=log_probabilities(w, known[_buckets(words)], row), minlength=batch.num_rows)
-            mean = pa.array(total / np.maximum(n, 1), pa.float64(), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(n), pa.array(total), mean], ["k", "n_tokens", "log_likelihood", "mean_log_likelihood"])
-
-    return wanted.mapInArrow(judged, f"k {wanted.schema['k'].dataType.simpleString()}, n_tokens bigint, log_likelihood double, mean_log_likelihood double").withColumnRenamed("k", key)
+                token = classes(known, words)
+                n += np.bincount(row, minlength=size)
+                total += np.bincount(row, weights=log_probabilities(w, token, row), minlength=size)
+                rare = token >= FREQUENT
+                asked.append((words[rare], row[rare]))
+            own = [pa.array(n), pa.array(total), pa.array(np.arange(size, dtype=np.int32)), *(pa.nulls(size, schema.field(c).type) for c in columns[5:])]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(size, first + b)), batch.column("k"), *own], columns)
+            if not asked:
+                continue
+            words, row = (np.concatenate(c) for c in zip(*asked, strict=True))
+            part = (words >> np.uint64(33)).astype(np.int64) % parts
+            order = np.argsort(part, kind="stable")
+            words, row, part = words[order], row[order].astype(np.int32), part[order]
+            full = np.unique(part)
+            cut = np.searchsorted(part, [full, full + 1])
+            sent = [[c[a:z].tobytes() for a, z in zip(*cut.tolist(), strict=True)] for c in (words, row)]
+            none = [pa.nulls(len(full), t) for t in (batch.column("k").type, pa.int64(), pa.float64(), pa.int32())]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(full), first + b)), *none, pa.array(full.astype(np.int32)), *(pa.array(c, pa.binary()) for c in sent)], columns)
+
+    sizes = model.sizes
+
+    def answered(asks: pa.Table, counts: pa.Table) -> pa.Table:
+        word, n = counts.column("word").to_numpy().view(np.uint64), counts.column("n").to_numpy()
+        order = np.argsort(word)
+        word, n = np.append(word[order], np.uint64(0)), np.append(n[order], 0)
+        out = []
+        for words, rows in zip(asks.column("words"), asks.column("rows"), strict=True):
+            words, rows = np.frombuffer(words.as_py(), np.uint64), np.frombuffer(rows.as_py(), np.int32)
+            at = np.searchsorted(word[:-1], words)
+            seen = np.where(word[at] == words, n[at], 0) + 1
+            gain = np.bincount(rows, weights=np.log(seen / sizes[(words >> np.uint64(48)).astype(np.int64) % RARE]))
+            full = np.unique(rows)
+            out.append((full.tobytes(), gain[full].tobytes()))
+        return pa.table({"batch": asks.column("batch"), "part": asks.column("part"), "rows": pa.array([x[0] for x in out], pa.binary()), "gains": pa.array([x[1] for x in out], pa.binary())})
+
+    def summed(own: pa.Table, gains: pa.Table) -> pa.Table:
+        row, n, total = (own.column(c).to_numpy() for c in ("row", "n", "total"))
+        more = np.zeros(int(row.max(initial=-1)) + 1)
+        # in one order, so that equal texts score alike to the last few bits
+        for _, rows, gain in sorted(zip(gains.column("part").to_pylist(), gains.column("rows").to_pylist(), gains.column("gains").to_pylist(), strict=True)):
+            more[np.frombuffer(rows, np.int32)] += np.frombuffer(gain, np.float64)
+        total = total + more[row]
+        mean = pa.array(total / np.maximum(n, 1), pa.float64(), mask=n == 0)
+        return pa.table({"k": own.column("k"), "n_tokens": own.column("n"), "log_likelihood": pa.array(total), "mean_log_likelihood": mean})
+
+    raw = written(wanted.mapInArrow(judged, f"batch bigint, k {kind}, n bigint, total double, `row` int, part int, words binary, rows binary"), "judged")
+    counts = model.counts.withColumn("part", (F.shiftrightunsigned("word", 33) % parts).cast("int"))
+    asks = raw.where("part is not null").select("part", "batch", "words", "rows")
+    gains = asks.groupBy("part").cogroup(counts.groupBy("part")).applyInArrow(answered, "batch bigint, part int, rows binary, gains binary")
+    own = raw.where("part is null").select("batch", "row", "k", "n", "total")
+    scored = own.groupBy("batch").cogroup(gains.groupBy("batch")).applyInArrow(summed, f"k {kind}, n_tokens bigint, log_likelihood double, mean_log_likelihood double")
+    return scored.withColumnRenamed("k", key)

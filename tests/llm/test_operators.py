@@ -324,6 +324,28 @@ def test_lm_learns_from_every_place():
     assert lm.targets(row, 0, lm.ROUNDS).tolist()[:2] == [0, 1]
 
 
+def test_lm_predicts_the_word(spark):
+    rare = [f"rare{k}" for k in range(2000)]
+    hashed = {w: toxicity.hashed_words(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[0] for w in [*rare, *(f"absent{k}" for k in range(300))]}
+    spots = {}
+    for w, h in hashed.items():
+        spots.setdefault(int(lm.classes(np.zeros(0, np.uint64), h)[0]), []).append(w)
+    rows = [(k, " ".join(f"common{j}" for j in range(lm.FREQUENT)) * 2) for k in range(30)] + [(100 + k, " ".join([w] * (1 + k % 5))) for k, w in enumerate(rare)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    model = lm.train(df)
+    assert model.counts.count() >= 2000 + lm.FREQUENT
+    ask = spark.createDataFrame([(k, w) for k, w in enumerate(hashed)], "doc_id bigint, text string")
+    p = {w: r.log_likelihood for r in lm.score(ask, model).collect() for w in [list(hashed)[r.doc_id]]}
+    count = {w: 1 + k % 5 for k, w in enumerate(rare)}
+    for own in spots.values():
+        base = {p[w] - np.log(1 + count.get(w, 0)) for w in own if hashed[w][0] not in model.frequent}
+        assert max(base) - min(base) < 1e-6
+        assert len({round(p[w], 6) for w in own}) > 1
+    c = lm.FREQUENT
+    own = [w for w in spots[c] if w in count and hashed[w][0] not in model.frequent]
+    assert model.sizes[0] >= sum(count[w] + 1 for w in own) + 1
+
+
 def test_chat(spark):
     r = random.Random(10)
     rows = [(c, t, role, (prose(5, r) + "?") if role == "user" else prose(30, r)) for c in range(60) for t, role in enumerate(["user", "assistant"] * r.randint(1, 4))]
