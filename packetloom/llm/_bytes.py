@@ -7,6 +7,7 @@ PIECE: texts are taken in runs of about so many bytes, and one longer text in se
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +18,8 @@ PIECE = 1 << 20
 _ODD = 0x9E3779B97F4A7C15
 _INVERSE = pow(_ODD, -1, 1 << 64)
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
 _ascii = np.arange(256, dtype=np.uint8)
 #: A-Z to a-z, all else as it is.
 LOWER = np.where((_ascii >= 65) & (_ascii <= 90), _ascii + 32, _ascii).astype(np.uint8)
@@ -26,6 +29,13 @@ IS_WORD = ((_ascii >= 48) & (_ascii <= 57)) | ((LOWER >= 97) & (LOWER <= 122)) |
 LETTERS = np.where(((LOWER >= 97) & (LOWER <= 122)) | (_ascii >= 128), LOWER, 32).astype(np.uint8)
 
 
+def release() -> None:
+    """Give freed memory back to the system: a Python worker stays after its task, and what it holds with it."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def column_bytes(column: pa.Array | pa.ChunkedArray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts end to end, and len + 1 offsets; a null is empty. lower: of all scripts' letters."""
     if lower and len(column):

@@ -23,3 +23,10 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small_batches(spark: SparkSession, size: str = "4m") -> None:
+    """Arrow batches of at most so many bytes from here on, unless the session has set its own bound: texts can be very long."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) in ("67108864b", "64MB", "64m"):
+        spark.conf.set(name, size)
