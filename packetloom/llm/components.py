@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.llm._shared import written
+from packetloom.llm._shared import forgotten, written
 
 
 def _large(e: DataFrame) -> DataFrame:
@@ -36,7 +36,8 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         if state == last or not state.n:
             break
         last = state
-        e = written(_small(_large(e).distinct()).distinct(), "links")
+        before, e = e, written(_small(_large(e).distinct()).distinct(), "links")
+        forgotten(before)
     else:
         raise RuntimeError(f"no stable components after {most_rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -13,14 +13,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from packetloom.llm import _bytes as B
 from packetloom.llm.toxicity import hashed_words
 
 K1, BODY = 1.2, 0.75
 SHINGLE = 5
-#: Share of an item's score that its essential terms have; more than 1 less the threshold.
-ESSENTIAL = 0.6
+#: Share of an item's score that its essential terms have; where a threshold asks for more, MARGIN above 1 less it.
+ESSENTIAL, MARGIN = 0.6, 0.1
 #: Postings of a term in one block.
 BLOCK = 64
 #: Text of test items in one index, which is broadcast; more items make more indexes, used in turn.
@@ -66,8 +68,9 @@ class Index:
         return self.essential_share - (1 - threshold)
 
 
-def build(items: list[tuple[int, str]]) -> Index:
-    """Scores are shares of the item's score against itself, so one threshold serves all items."""
+def build(items: list[tuple[int, str]], threshold: float = 0.7) -> Index:
+    """Scores are shares of the item's score against itself, so one threshold serves all items. It serves thresholds from this one on."""
+    enough = max(ESSENTIAL, 1 - threshold + MARGIN)
     items = [(i, t, w) for i, t in items if t is not None and len(w := _words(t))]
     n = len(items)
     average = sum(len(w) for _, _, w in items) / max(1, n)
@@ -90,7 +93,7 @@ def build(items: list[tuple[int, str]]) -> Index:
         docs, shares = [k for k, _ in weight[t]], [x / whole[k] for k, x in weight[t]]
         postings.append((docs, shares, [max(shares[a : a + BLOCK]) for a in range(0, len(shares), BLOCK)]))
 
-    # an item's rarest terms, by items and then by length, until they are ESSENTIAL of its score
+    # an item's rarest terms, by items and then by length, until they are enough of its score
     by_item: list[list[tuple[int, int, int, float]]] = [[] for _ in items]
     for k, t in enumerate(terms):
         for item, share in zip(postings[k][0], postings[k][1], strict=True):
@@ -100,7 +103,7 @@ def build(items: list[tuple[int, str]]) -> Index:
         for _, _, k, share in sorted(own):
             entries.append((k, item, share))
             essential_share[item] += share
-            if essential_share[item] >= ESSENTIAL:
+            if essential_share[item] >= enough:
                 break
     entries.sort()
     pointer = np.searchsorted(np.array([e[0] for e in entries], np.int64), np.arange(len(terms) + 2))
@@ -218,28 +221,32 @@ def find_leaks(df: DataFrame, items: DataFrame, text: str = "text", key: str = "
 
     Null or wordless texts and items match nothing; equal items all come back; rows that repeat repeat
     their matches; an empty table on either side gives no rows; other columns are not read. The index
-    of items with more than index_bytes of text is built in parts, and each part queried.
+    of items with more than index_bytes of text is built in parts, and each part queried. threshold is
+    above 0: the lower, the more of an item's terms bring a passage to the index.
     """
     out = None
-    for index in _indexes(items, item_key, item_text, index_bytes):
-        one = _found(df, index, text, key, threshold, overlap)
+    kind = items.schema[item_key].dataType
+    for index in _indexes(items, item_key, item_text, index_bytes, threshold):
+        one = _found(df, index, text, key, kind, threshold, overlap)
         out = one if out is None else out.unionByName(one)
     return out.withColumnRenamed("item_id", item_key)
 
 
 def without_leaks(df: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", threshold: float = 0.7, overlap: float = 0.8, index_bytes: int = INDEX_BYTES) -> DataFrame:
     """The rows of df into which no item leaks (see find_leaks), all their columns as they are."""
-    for index in _indexes(items, item_key, item_text, index_bytes):
+    for index in _indexes(items, item_key, item_text, index_bytes, threshold):
         df = _clean(df, index, text, threshold, overlap)
     return df
 
 
-def _indexes(items: DataFrame, item_key: str, item_text: str, index_bytes: int) -> Iterator[Index]:
+def _indexes(items: DataFrame, item_key: str, item_text: str, index_bytes: int, threshold: float) -> Iterator[Index]:
+    if not 0 < threshold <= 1:
+        raise ValueError("the threshold is a share above 0")
     size = items.agg(F.coalesce(F.sum(F.octet_length(item_text)), F.lit(0)).alias("b")).first().b
     shards = max(1, math.ceil(size / index_bytes))
     for shard in range(shards):
         rows = items.select(F.col(item_key).alias("i"), F.col(item_text).alias("t")).where(F.pmod(F.xxhash64("i", "t"), F.lit(shards)) == shard).collect()
-        yield build(sorted(((r.i, r.t) for r in rows if r.i is not None), key=lambda r: (r[0], r[1] or "")))
+        yield build(sorted(((r.i, r.t) for r in rows if r.i is not None), key=lambda r: (r[0], r[1] or "")), threshold)
 
 
 def matches(ix: Index, column: pa.Array, threshold: float, overlap: float) -> dict[tuple[int, int], tuple[float, float, float]]:
@@ -266,7 +273,8 @@ def matches(ix: Index, column: pa.Array, threshold: float, overlap: float) -> di
     return best
 
 
-def _found(df: DataFrame, index: Index, text: str, key: str, threshold: float, overlap: float) -> DataFrame:
+def _found(df: DataFrame, index: Index, text: str, key: str, item_kind: DataType, threshold: float, overlap: float) -> DataFrame:
+    item_type = to_arrow_type(item_kind)
     shared = df.sparkSession.sparkContext.broadcast(pickle.dumps(index))
     wanted = df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
 
@@ -276,12 +284,12 @@ def _found(df: DataFrame, index: Index, text: str, key: str, threshold: float, o
             best = matches(ix, batch.column("t"), threshold, overlap)
             got = sorted(best)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("k").take(pa.array([r for r, _ in got], pa.int64())), pa.array([ix.ids[m] for _, m in got], pa.int64()), *(pa.array([best[g][c] for g in got], pa.float64()) for c in range(3))],
+                [batch.column("k").take(pa.array([r for r, _ in got], pa.int64())), pa.array([ix.ids[m] for _, m in got], item_type), *(pa.array([best[g][c] for g in got], pa.float64()) for c in range(3))],
                 ["k", "item_id", "score", "question_overlap", "answer_overlap"],
             )
 
     kind = wanted.schema["k"].dataType.simpleString()
-    return wanted.mapInArrow(matched, f"k {kind}, item_id bigint, score double, question_overlap double, answer_overlap double").withColumnRenamed("k", key)
+    return wanted.mapInArrow(matched, f"k {kind}, item_id {item_kind.simpleString()}, score double, question_overlap double, answer_overlap double").withColumnRenamed("k", key)
 
 
 def _clean(df: DataFrame, index: Index, text: str, threshold: float, overlap: float) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import pickle
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,7 +15,7 @@ from packetloom.llm import _bytes as B
 
 UNKNOWN = "und"
 _SIZES = (3, 4, 5)
-_LETTER = re.compile(r"[^\W\d_]")
+_ASCII_LETTER = np.isin(np.arange(256), list(range(65, 91)) + list(range(97, 123)))
 
 
 def subwords(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -49,6 +48,11 @@ def subwords(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarr
     return np.concatenate(found)[order].astype(np.int64), np.searchsorted(where_all[order], np.arange(len(offsets)))
 
 
+def has_letter(text: np.ndarray) -> bool:
+    """Whether UTF-8 bytes hold a letter of any script, as str.isalpha tells it."""
+    return bool(_ASCII_LETTER[text].any()) or any(map(str.isalpha, text.tobytes().decode("utf-8", "replace")))
+
+
 @dataclass
 class LangModel:
     langs: list[str]
@@ -130,15 +134,22 @@ def fit(samples: list[tuple[np.ndarray, np.ndarray, str]], bits: int, dim: int =
     return model
 
 
-def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_lang: int = 600, bits: int = 15) -> LangModel:
+def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_lang: int = 600, most_rows: int = 40_000, bits: int = 15) -> LangModel:
     """A model of the rows of df whose lang is not null.
 
-    At most per_lang rows of each language teach it: those of the least xxhash64(key). Only their
+    The bound of the sample: at most per_lang rows of each language teach it, and most_rows of all: those
+    whose key has the least xxhash64 among about four times as many, drawn by that hash. Only their
     subword counts come to the driver, at most 2 ** bits for a row however long its text.
     """
     known = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("_key"), F.col(lang).alias("_lang"))
-    rank = F.row_number().over(Window.partitionBy("_lang").orderBy(F.xxhash64("_key"), "_key"))
-    chosen = known.withColumn("_rank", rank).where(F.col("_rank") <= per_lang).select("_key").distinct()
+    sizes = known.groupBy("_lang").agg(F.count("*").alias("_n"))
+    n = sizes.count()
+    per_lang = max(1, min(per_lang, most_rows // max(1, n)))
+    sizes = F.broadcast(sizes) if n <= most_rows else sizes
+    # a language may have a third of all rows: few of them are ranked, all others go before the shuffle
+    drawn = known.join(sizes, "_lang").where(F.shiftrightunsigned(F.xxhash64("_key"), 11) * F.lit(2.0**-53) * F.col("_n") <= 4 * per_lang)
+    rank = F.row_number().over(Window.partitionBy("_lang").orderBy(F.shiftrightunsigned(F.xxhash64("_key"), 11), "_key"))
+    chosen = drawn.withColumn("_rank", rank).where(F.col("_rank") <= per_lang).select("_key").distinct()
     rows = df.where(F.col(lang).isNotNull()).select(F.col(key).alias("_key"), F.col(lang).alias("_lang"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_key", "left_semi")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,8 +188,7 @@ def identify(df: DataFrame, model: LangModel, text: str = "text", keep: tuple[st
         for batch in batches:
             data, offsets = B.column_bytes(batch.column("t"), lower=True)
             p = m.probabilities(data, offsets)
-            whole = data.tobytes()
-            lettered = np.array([_LETTER.search(whole[a:b].decode("utf-8", "replace")) is not None for a, b in zip(offsets[:-1], offsets[1:], strict=True)], bool)
+            lettered = np.array([has_letter(data[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], bool)
             best = p.argmax(axis=1) if len(p) else np.zeros(0, int)
             score = np.where(lettered, p[np.arange(len(p)), best], 0.0)
             names = [m.langs[k] if good else UNKNOWN for k, good in zip(best, lettered, strict=True)]

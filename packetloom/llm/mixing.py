@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packetloom.llm._shared import written
@@ -74,7 +74,12 @@ def _planned(rows: DataFrame, plan: DataFrame, small: bool) -> DataFrame:
     if small:
         return rows.join(F.broadcast(plan), "s")
     salted = plan.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("salt", F.pmod(F.xxhash64("k", "n"), F.lit(SALTS)).cast("int")).join(salted, ["s", "salt"]).drop("salt")
+    return rows.withColumn("salt", F.pmod("h", F.lit(SALTS)).cast("int")).join(salted, ["s", "salt"]).drop("salt")
+
+
+def _share(*columns: Column) -> Column:
+    """A number from 0 to 1, drawn by a hash of columns."""
+    return F.shiftrightunsigned(F.xxhash64(*columns), 11) * F.lit(2.0**-53)
 
 
 def mix(
@@ -87,22 +92,29 @@ def mix(
     max_repeats: float | None = 4.0,
     block_tokens: int = 200_000,
     seed: int = 17,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """key, source, tokens, epoch, block, place: a row for each copy of a row of df in the mixture.
+    """key, source, tokens, epoch, block, place, and the columns carry: a row for each copy of a row of df in the mixture.
 
     Tokens are runs of other than ASCII white space. A source's weight is its share to the power alpha
     (see exponent), normalised; its quota is its weight of budget (default: all tokens there are). Its
-    rows are dealt to blocks by a hash of the key; an epoch takes the blocks, and the rows in each, in an
-    order drawn for that epoch. Whole epochs come first, and of the last one rows as long as their
-    tokens, summed in its order, stay within the quota; so a source falls short of it by less than one
-    row. Ascending epoch, then place, is the order of reading.
+    rows are dealt to blocks by a hash of source, key and text; an epoch takes the blocks, and the rows in
+    each, in an order drawn for that epoch. Whole epochs come first, and of the last one rows as long as
+    their tokens, summed in its order, stay within the quota; so a source falls short of it by less than
+    one row.
+
+    Ascending place, from 0 to 1, is the order of reading: where a copy stands among the tokens of all its
+    source's copies, as a share of them. All sources advance alike, so each stretch of the order has about
+    the weights. Inside its block a row's place is drawn.
 
     A null source is the source "". Null or empty texts have no tokens and come along with their epoch;
     a source without tokens comes once. Repeated rows count each, ties of the order are broken by key and
-    tokens. An empty table gives an empty one. Other columns are not read.
+    tokens; null keys are keys like any. An empty table gives an empty one. Other columns are not read;
+    carried ones may have any name but key's and source's.
     """
-    counted = df.select(F.col(key).alias("k"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("s"), F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("bigint").alias("n"))
-    rows = written(counted, "tokens")
+    t = F.coalesce(F.col(text), F.lit(""))
+    columns = [F.col(key).alias("k"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("s"), F.regexp_count(t, F.lit(r"[^\x20\x09-\x0D]+")).cast("bigint").alias("n"), F.xxhash64(F.col(key), t).alias("h")]
+    rows = written(df.select(*columns), "tokens")
     sources = rows.groupBy("s").agg(F.sum("n").alias("n"))
     # four numbers of 8 bytes come with each name
     known = sources.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.octet_length("s") + 32), F.lit(0)).alias("bytes")).first()
@@ -111,21 +123,30 @@ def mix(
     quota = F.when(F.col("n") > 0, F.pow(F.col("n").cast("double"), F.lit(alpha)) / total * budget).otherwise(F.lit(0.0))
     plan = sources.withColumn("quota", F.floor(quota + 1e-6)).select(
         "s",
+        F.col("n").alias("all"),
         F.when(F.col("n") > 0, F.floor(F.col("quota") / F.col("n"))).otherwise(F.lit(0)).cast("bigint").alias("epochs"),
         F.when(F.col("n") > 0, F.col("quota") % F.col("n")).otherwise(F.lit(0)).cast("bigint").alias("rest"),
         F.least(F.lit(MAX_BLOCKS), F.greatest(F.lit(1), F.ceil(F.col("n") / block_tokens))).cast("bigint").alias("blocks"),
     )
-    dealt = _planned(rows, plan, known.bytes <= MAX_BROADCAST).withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "k"), "blocks"))
-    # where each block of the last epoch ends, in that epoch's order of blocks
-    order = Window.partitionBy("s").orderBy(F.xxhash64(F.lit(seed), "epochs", "block"), "block").rowsBetween(Window.unboundedPreceding, 0)
-    ends = dealt.groupBy("s", "block", "epochs").agg(F.sum("n").alias("sum")).withColumn("end", F.sum("sum").over(order)).select("s", "block", "end", (F.col("end") - F.col("sum")).alias("begin"))
-    placed = dealt.join(ends, ["s", "block"])
-    inside = Window.partitionBy("s", "block").orderBy(F.xxhash64(F.lit(seed), "epochs", "k"), "k", "n").rowsBetween(Window.unboundedPreceding, 0)
-    cut = (F.col("end") > F.col("rest")) & (F.col("begin") <= F.col("rest"))
+    small = known.bytes <= MAX_BROADCAST
+    block = F.pmod(F.xxhash64(F.lit(seed), "s", "h"), "blocks")
+    # where each block begins in each epoch's order of blocks
+    sums = _planned(rows, plan, small).withColumn("block", block).groupBy("s", "block", "epochs").agg(F.sum("n").alias("sum"))
+    order = Window.partitionBy("s", "epoch").orderBy(F.xxhash64(F.lit(seed), "s", "epoch", "block"), "block").rowsBetween(Window.unboundedPreceding, 0)
+    begins = sums.withColumn("epoch", F.explode(F.expr("sequence(0L, epochs)"))).withColumn("begin", F.sum("sum").over(order) - F.col("sum"))
+    begins = begins.groupBy("s", "block").agg(F.first("sum").alias("sum"), F.transform(F.array_sort(F.collect_list(F.struct("epoch", "begin"))), lambda x: x["begin"]).alias("begins"))
+    whole = df.select(*columns, *[F.col(c).alias(f"c_{c}") for c in carry]) if carry else rows
+    placed = _planned(whole, plan, small).withColumn("block", block).join(begins, ["s", "block"]).withColumn("begin", F.expr("begins[epochs]"))
+    at = _share(F.lit(seed), "s", "epochs", "h")
+    inside = Window.partitionBy("s", "block").orderBy(at, "k", "n").rowsBetween(Window.unboundedPreceding, 0)
+    cut = (F.col("begin") + F.col("sum") > F.col("rest")) & (F.col("begin") <= F.col("rest"))
     # only the block in which the quota ends is summed row by row
     partly = placed.where(cut).withColumn("last", F.col("begin") + F.sum("n").over(inside) <= F.col("rest"))
-    wholly = placed.where(~cut).withColumn("last", F.col("end") <= F.col("rest"))
+    wholly = placed.where(~cut).withColumn("last", F.col("begin") + F.col("sum") <= F.col("rest"))
     copies = wholly.unionByName(partly).withColumn("copies", F.col("epochs") + F.col("last").cast("bigint")).where("copies > 0")
     each = copies.withColumn("epoch", F.explode(F.expr("sequence(0L, copies - 1)")))
-    place = F.struct(F.xxhash64(F.lit(seed), "epoch", "block").alias("block"), F.xxhash64(F.lit(seed), "epoch", "k").alias("row"))
-    return each.select(F.col("k").alias(key), F.col("s").alias(source), F.col("n").alias("tokens"), "epoch", "block", F.concat(F.lpad(F.hex(place["block"]), 16, "0"), F.lpad(F.hex(place["row"]), 16, "0")).alias("place"))
+    share = _share(F.lit(seed), "s", "epoch", "h")
+    tokens = F.col("epoch") * F.col("all") + F.expr("begins[epoch]") + share * F.col("sum")
+    taken = F.col("epochs") * F.col("all") + F.col("rest")
+    place = F.when(taken > 0, F.least(tokens / taken, F.lit(1.0))).otherwise(share)
+    return each.select(F.col("k").alias(key), F.col("s").alias(source), F.col("n").alias("tokens"), "epoch", "block", place.alias("place"), *[F.col(f"c_{c}").alias(c) for c in carry])

@@ -214,15 +214,20 @@ def _cut(logit: np.ndarray, y: np.ndarray, threshold: float, least: int = 5) ->
     return slope, float(np.log(threshold / (1 - threshold))) - slope * cut
 
 
-def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", per_class: int = 2000, max_chars: int = 60_000) -> ToxicModel:
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", per_class: int = 2000, max_chars: int = 60_000, all_chars: int = 8_000_000) -> ToxicModel:
     """A model of the labelled rows: docs joined with labels on key, labels (0 or 1) from the latter.
 
-    The bound of the sample: at most per_class rows of each class, those of the least xxhash64(key),
-    whose texts have at most max_chars. A key labelled more than once is toxic if one label says so.
+    The bound of the sample: of each class at most per_class rows and all_chars characters, of texts of at
+    most max_chars each: those whose key has the least xxhash64 among about eight times as many, drawn by that
+    hash. A key labelled more than once is toxic if one label says so.
     """
     marks = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max(F.col(label)).cast("int").alias("_y"))
-    rank = F.row_number().over(Window.partitionBy("_y").orderBy(F.xxhash64("_key"), "_key"))
-    chosen = marks.withColumn("_rank", rank).where(F.col("_rank") <= per_class).select("_key", "_y")
+    hashed_key = F.shiftrightunsigned(F.xxhash64("_key"), 11)
+    # a class is ranked from what its rows of least hashes are, all others go before the shuffle
+    drawn = marks.join(F.broadcast(marks.groupBy("_y").agg(F.count("*").alias("_n"))), "_y").where(hashed_key * F.lit(2.0**-53) * F.col("_n") <= 8 * per_class).select("_key", "_y")
+    sizes = docs.where(F.length(text) <= max_chars).select(F.col(key).alias("_key"), F.length(text).alias("_size")).join(F.broadcast(drawn), "_key").groupBy("_key", "_y").agg(F.sum("_size").alias("_size"))
+    order = Window.partitionBy("_y").orderBy(hashed_key, "_key").rowsBetween(Window.unboundedPreceding, 0)
+    chosen = sizes.withColumns({"_rank": F.count("*").over(order), "_size": F.sum("_size").over(order)}).where((F.col("_rank") <= per_class) & (F.col("_size") <= all_chars)).select("_key", "_y")
     rows = docs.where(F.length(text) <= max_chars).select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_key")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

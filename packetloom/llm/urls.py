@@ -92,7 +92,16 @@ def filter_urls(df: DataFrame, rules: Sequence[Rule], url: str = "url", default:
             found = [tree.match(h, p) for h, p in zip(hosts, paths, strict=True)]
             yield pd.DataFrame({"rule": [f and f[1] for f in found], "verdict": [f[0] if f else default for f in found]})
 
-    return base.withColumn("_found", judge("host", "path")).select(*kept, "host", "path", "_found.rule", "_found.verdict")
+    found = _fresh(base)
+    return base.withColumn(found, judge("host", "path")).select(*kept, "host", "path", f"{found}.rule", f"{found}.verdict")
+
+
+def _fresh(df: DataFrame) -> str:
+    """A name that no column of df has."""
+    name = "_found"
+    while name.lower() in map(str.lower, df.columns):
+        name += "_"
+    return name
 
 
 def _joined(base: DataFrame, rules: Sequence[Rule], default: str) -> DataFrame:
@@ -110,5 +119,5 @@ def _joined(base: DataFrame, rules: Sequence[Rule], default: str) -> DataFrame:
         .withColumn("_j", F.explode(F.expr(f"sequence(0, least(size(_g) - 1, {deep}))")))
         .withColumn("_s", F.expr("case when _j = 0 then '' else concat(array_join(slice(_g, 1, _j), '/'), '/') end"))
     )
-    best = tried.join(table, ["_h", "_s"]).where(F.expr("startswith(path, _p)")).groupBy("host", "path").agg(F.max_by(F.struct("_r", "_v"), F.struct("_labels", "_len")).alias("_found"))
-    return base.join(best, ["host", "path"], "left").select(*base.columns, F.col("_found._r").alias("rule"), F.coalesce("_found._v", F.lit(default)).alias("verdict"))
+    best = tried.join(table, ["_h", "_s"]).where(F.expr("startswith(path, _p)")).groupBy("host", "path").agg(F.max_by(F.struct("_r", "_v"), F.struct("_labels", "_len")).alias(found := _fresh(base)))
+    return base.join(best, ["host", "path"], "left").select(*base.columns, F.col(f"{found}._r").alias("rule"), F.coalesce(f"{found}._v", F.lit(default)).alias("verdict"))

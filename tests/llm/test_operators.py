@@ -410,3 +410,52 @@ def test_empty_tables(none):
     assert sketch.fingerprint_documents(none).count() == 0
     assert urls.filter_urls(none.select(F.col("text").alias("url")), RULES).count() == 0
     assert toxicity.score(none, toxicity.train(none, none.select("doc_id", F.lit(1).alias("toxic")))).count() == 0
+
+
+def test_suffix_removal_of_many_texts_is_that_of_brute_force(spark):
+    r = random.Random(21)
+    texts = [prose(r.randint(1, 80), r) for _ in range(120)]
+    passages = [prose(30, r) for _ in range(4)]
+    for k in range(120, 260):
+        own = texts[r.randrange(120)]
+        at = r.randrange(len(own) + 1)
+        texts.append(own[:at] + r.choice(passages + [chr(97 + k % 9)]) + own[at:])
+    rows = [(r.randrange(200), t) for t in texts] + [(None, texts[0])] * 3 + [(4, None), (4, texts[0])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    for most in (20_000, 2):
+        got = suffixes.remove_repeats(df, block_rows=30, hot_spans=most).collect()
+        assert sorted((-1 if x.doc_id is None else x.doc_id, x.n_bytes, sum(e - s for s, e in zip(x.starts, x.ends)), hashlib.sha256(bytes(x.kept)).hexdigest()) for x in got) == slow_repeats(rows)
+    with pytest.raises(ValueError):
+        suffixes.remove_repeats(df.withColumn("doc_id", F.col("doc_id").cast("string")))
+
+
+def test_mixing_keeps_the_weights_in_each_part_of_the_order(spark):
+    r = random.Random(22)
+    rows = [(k, prose(20, r), "a") for k in range(6000)] + [(6000 + k, prose(20, r), "b") for k in range(300)] + [(7000 + k, prose(20, r), None) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = sorted(mixing.mix(df, block_tokens=2000, carry=("text",)).collect(), key=lambda x: x.place)
+    whole = {s: sum(x.tokens for x in got if x.source == s) / sum(x.tokens for x in got) for s in ("a", "b", "")}
+    for k in range(10):
+        part = got[len(got) * k // 10 : len(got) * (k + 1) // 10]
+        for s, share in whole.items():
+            assert abs(sum(x.tokens for x in part if x.source == s) / sum(x.tokens for x in part) - share) < 0.04
+    assert all(x.text == rows[x.doc_id if x.doc_id < 6300 else x.doc_id - 700][1] for x in got)
+
+
+def test_decontamination_at_a_low_threshold(spark):
+    r = random.Random(23)
+    items = [(f"i{k}", prose(30, r) + ".\n" + prose(8, r)) for k in range(12)]
+    texts = [(k, prose(20, r) + " " + " ".join(w if r.random() < 0.5 else "zzz" for w in items[k % 12][1].split())) for k in range(60)]
+    d, i = spark.createDataFrame(texts, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id string, text string")
+    ix = decontaminate.build(sorted(items), 0.2)
+    want = set()
+    for k, t in texts:
+        term = decontaminate._lookup(ix.terms, decontaminate._words(t))
+        want |= {(k, ix.ids[m]) for m, _ in decontaminate.block_max_wand(ix, (np.unique(term[term > 0]) - 1).tolist(), 0.2)}
+    assert {(x.doc_id, x.item_id) for x in decontaminate.find_leaks(d, i, threshold=0.2, overlap=0.0).collect()} == want and want
+    with pytest.raises(ValueError):
+        decontaminate.find_leaks(d, i, threshold=0.0)
+
+
+def test_letters():
+    assert [langid.has_letter(np.frombuffer(t.encode(), np.uint8)) for t in ("½ ²", "Ⅷ 12", "é", "x", "", "12 語")] == [False, False, True, True, False, True]
