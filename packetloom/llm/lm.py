@@ -3,42 +3,52 @@
 A token is the class of a word: one of the FREQUENT most frequent words of the corpus, or one of RARE
 classes by hash for all others. The network predicts a token from the SIDE tokens on both sides of it:
 their embeddings, each through the matrix of its place, summed and squashed, then a softmax. The word
-is then predicted within its class, by its count in the corpus with one added, a word that is not there
-with one. A text scores the sum of the log-probabilities of its words, each masked in turn.
-
-Every distinct word of the corpus is counted, in a table that grows with it; texts meet the counts by
-word, in parts of all words. Training goes through all of it: in each round each task starts
-from the same weights and takes stochastic gradient steps on its share of the positions of all its
-texts, so that each token of the corpus is a target once over the rounds; the weights of all tasks are averaged by tokens, first in groups on the executors.
+is then predicted within its class, by how often the corpus has it elsewhere: its count without the
+masked one, and SMOOTH. A text scores the sum of the log-probabilities of its words, each masked in turn.
+
+Every distinct word of the corpus is counted, in a table that grows with it. Training goes through all
+of it: texts, as classes, are dealt by a hash to shards of about SHARD tokens each. In each round each
+shard starts from the same weights and takes stochastic gradient steps on its share of the positions, in an
+order drawn by a fixed seed, so that each token of the corpus is a target once over the rounds; the weights
+of all shards are averaged by tokens, in groups on the executors. Nothing depends on how the input lies in
+files or tasks.
 """
 
 from __future__ import annotations
 
+import math
 import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from packetloom.llm import _bytes as B
-from packetloom.llm._shared import written
+from packetloom.llm._shared import small_batches, written
 
 FREQUENT, RARE = 192, 64
 PAD = FREQUENT + RARE
 SIDE = 2
 DIM = 16
 ROUNDS = 2
-#: Texts' words are taken up to so many at a time.
-CHUNK = 1 << 14
+SMOOTH = 0.1
+#: Tokens of a shard, and places of one gradient step.
+SHARD, STEP = 1 << 20, 256
+#: Weights averaged by one task.
+GROUP = 64
 #: Places scored at a time.
 PART = 1 << 10
 #: Distinct words a task holds before it sends their counts.
 HELD = 1 << 20
+#: Bytes and rows of texts that are scored together.
+BLOCK_BYTES, BLOCK_ROWS = 4 << 20, 4000
 _PLACES = [d for d in range(-SIDE, SIDE + 1) if d]
+#: Logits below this need no shift before the exponential.
+_SAFE = 60.0
 
 
 @dataclass
@@ -46,7 +56,7 @@ class Model:
     frequent: np.ndarray  #: the most frequent words, by count; a word's place is its class
     w: dict[str, np.ndarray]
     counts: DataFrame  #: word, n: every word of the corpus
-    sizes: np.ndarray  #: of each rare class, the counts of its words and one for each, and one for words not there
+    sizes: np.ndarray  #: of each rare class, the counts of its words, SMOOTH for each, and SMOOTH for words not there
 
 
 def classes(frequent: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -86,6 +96,8 @@ def count_words(df: DataFrame, text: str = "text") -> DataFrame:
                         known = (known[0][:0], known[1][:0])
         known = _summed(*(np.concatenate(c) for c in zip(known, *fresh, strict=True)))
         yield sent()
+        known = fresh = None
+        B.release()
 
     return df.select(F.col(text).cast("string").alias("t")).mapInArrow(counted, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -104,8 +116,8 @@ def _texts(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 def vocabulary(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The FREQUENT words of the largest counts, and the sizes of the rare classes."""
     frequent = np.array([r.word for r in counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()], np.int64)
-    sizes = np.ones(RARE, np.int64)
-    for r in counts.where(~F.col("word").isin(frequent.tolist())).groupBy((F.shiftrightunsigned("word", 48) % RARE).alias("c")).agg(F.sum(F.col("n") + 1).alias("s")).collect():
+    sizes = np.full(RARE, SMOOTH)
+    for r in counts.where(~F.col("word").isin(frequent.tolist())).groupBy((F.shiftrightunsigned("word", 48) % RARE).alias("c")).agg((F.sum("n") + F.lit(SMOOTH) * F.count("*")).alias("s")).collect():
         sizes[r.c] += r.s
     return frequent.view(np.uint64), sizes
 
@@ -116,40 +128,42 @@ def start(seed: int = 5) -> dict[str, np.ndarray]:
     return {k: v.astype(np.float32) for k, v in w.items()}
 
 
-def context(token: np.ndarray, row: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The tokens around each place of at, PAD beyond the text."""
-    out = np.full((len(at), len(_PLACES)), PAD, np.int64)
-    for k, d in enumerate(_PLACES):
-        near = np.clip(at + d, 0, len(token) - 1)
-        same = (row[near] == row[at]) & (near == at + d)
-        out[same, k] = token[near[same]]
-    return out
+def padded(token: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of all texts with SIDE paddings before, between and after them, and where each token stands."""
+    at = np.arange(len(token))
+    at += SIDE
+    at[1:] += SIDE * np.cumsum(row[1:] != row[:-1])
+    out = np.full((int(at[-1]) if len(at) else 0) + SIDE + 1, PAD, np.int16)
+    out[at] = token
+    return out, at
 
 
 def step(w: dict[str, np.ndarray], around: np.ndarray, token: np.ndarray, rate: float) -> float:
     """One gradient step in place; the mean loss before it."""
     n, k = around.shape
-    side = w["A"].reshape(k * DIM, DIM)
+    side, O, b = w["A"].reshape(k * DIM, DIM), w["O"], w["b"]
     x = w["E"][around].reshape(n, k * DIM)
     h = np.tanh(x @ side)
-    p = h @ w["O"] + w["b"]
-    p -= p.max(axis=1, keepdims=True)
-    np.exp(p, out=p)
-    p /= p.sum(axis=1, keepdims=True)
+    p = h @ O
+    p += b
+    if np.abs(O).sum(axis=0).max() + np.abs(b).max() > _SAFE:
+        p -= p.max(axis=1, keepdims=True)
     rows = np.arange(n)
-    loss = float(-np.log(p[rows, token] + 1e-12).mean())
-    p[rows, token] -= 1
-    p *= np.float32(rate / n)
-    dh = (p @ w["O"].T) * (1 - h * h)
-    w["O"] -= h.T @ p
-    w["b"] -= p.sum(axis=0)
+    mine = p[rows, token]
+    np.exp(p, out=p)
+    total = p @ np.ones(PAD, np.float32)
+    p *= (np.float32(rate / n) / total)[:, None]
+    p[rows, token] -= np.float32(rate / n)
+    dh = (p @ O.T) * (1 - h * h)
+    O -= h.T @ p
+    b -= np.ones(n, np.float32) @ p
     dx = (dh @ side.T).reshape(n * k, DIM)
     side -= x.T @ dh
     flat = around.ravel()
     order = np.argsort(flat, kind="stable")
     first = np.flatnonzero(np.diff(flat[order], prepend=-1))
     w["E"][flat[order[first]]] -= np.add.reduceat(dx[order], first, axis=0)
-    return loss
+    return float((np.log(total) - mine).mean())
 
 
 def targets(row: np.ndarray, r: int, rounds: int) -> np.ndarray:
@@ -171,143 +185,171 @@ def _shaped(flat: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def train(df: DataFrame, text: str = "text", rounds: int = ROUNDS, rate: float = 1.0, groups: int = 32) -> Model:
-    """The words and the weights, from all texts of df. Without a word, the starting weights."""
+def encoded(df: DataFrame, frequent: np.ndarray, text: str = "text", key: str | None = None) -> DataFrame:
+    """h, n, tokens: of each text with a word, a hash of key and text, the number of words and their classes, a byte each."""
+
+    def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = batch.num_rows
+            parts = [(classes(frequent, words).astype(np.uint8), row) for words, row in _texts(batch.column("t"))]
+            n = sum((np.bincount(row, minlength=size) for _, row in parts), np.zeros(size, np.int64))
+            data = b"".join(t.tobytes() for t, _ in parts)
+            ends = pa.py_buffer(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array(n), pa.Array.from_buffers(pa.binary(), size, [None, ends, pa.py_buffer(data)])], ["h", "n", "tokens"])
+            del parts, data
+        B.release()
+
+    t = F.col(text).cast("string")
+    return df.select(F.xxhash64(*([key] if key else []), t).alias("h"), t.alias("t")).where("t is not null").mapInArrow(classed, "h bigint, n bigint, tokens binary").where("n > 0")
+
+
+def learned(texts: list[bytes], w: dict[str, np.ndarray], r: int, rounds: int, rate: float) -> dict[str, np.ndarray]:
+    """The weights after round r over the texts of a shard, which come as classes."""
+    w = {k: v.copy() for k, v in w.items()}
+    token = np.frombuffer(b"".join(texts), np.uint8)
+    row = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) for t in texts])
+    seq, at = padded(token, row)
+    at = at[targets(row, r, rounds)]
+    del row, token
+    np.random.default_rng(9 + r).shuffle(at)
+    for a in range(0, len(at), STEP):
+        here = at[a : a + STEP]
+        step(w, np.stack([seq[here + d] for d in _PLACES], axis=1), seq[here], rate / (1 + r))
+    return w
+
+
+def _taught(shared: Broadcast, r: int, rounds: int, rate: float):
+    def taught(group: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by([("h", "ascending"), ("tokens", "ascending")])
+        own = learned(table.column("tokens").to_pylist(), pickle.loads(shared.value), r, rounds, rate)
+        B.release()
+        return pa.table({"shard": pa.array([group[0].as_py()]), "n": pa.array([sum(table.column("n").to_pylist())]), "w": pa.array([_flat(own).tobytes()], pa.binary())})
+
+    return taught
+
+
+def _averaged(group: tuple, table: pa.Table) -> pa.Table:
+    table = table.sort_by("shard")
+    n = table.column("n").to_pylist()
+    mean = sum(k * np.frombuffer(raw.as_py(), np.float32).astype(np.float64) for k, raw in zip(n, table.column("w"), strict=True)) / sum(n)
+    return pa.table({"shard": pa.array([group[0].as_py()]), "n": pa.array([sum(n)]), "w": pa.array([mean.astype(np.float32).tobytes()], pa.binary())})
+
+
+def train(df: DataFrame, text: str = "text", rounds: int = ROUNDS, rate: float = 1.0, key: str | None = None) -> Model:
+    """The words and the weights, from all texts of df. Without a word, the starting weights.
+
+    Texts go to shards by a hash of the text, and of key if one is named: with a key, copies of one text
+    are spread.
+    """
+    spark, w = df.sparkSession, start()
+    small_batches(spark)
     counts = written(count_words(df, text), "words")
     frequent, sizes = vocabulary(counts)
-    spark, w = df.sparkSession, start()
-    texts = df.select(F.col(text).cast("string").alias("t"))
-    for r in range(rounds):
-        shared = spark.sparkContext.broadcast(pickle.dumps((frequent, w)))
-
-        def taught(batches: Iterator[pa.RecordBatch], r: int = r, shared=shared) -> Iterator[pa.RecordBatch]:
-            known, own = pickle.loads(shared.value)
-            seen, waiting, size = 0, [], 0
-
-            def learn() -> None:
-                around, token = (np.concatenate(c) for c in zip(*waiting, strict=True))
-                for a in range(0, len(token), 256):
-                    step(own, around[a : a + 256], token[a : a + 256], rate / (1 + r))
-                waiting.clear()
-
-            for batch in batches:
-                for words, row in _texts(batch.column(0)):
-                    token = classes(known, words)
-                    at = targets(row, r, rounds)
-                    waiting.append((context(token, row, at), token[at]))
-                    size += len(waiting[-1][1])
-                    seen += len(token)
-                    if size >= CHUNK:
-                        learn()
-                        size = 0
-            if waiting:
-                learn()
-            yield pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([_flat(own).astype(np.float32).tobytes()], pa.binary())], ["n", "w"])
-
-        def averaged(table: pa.Table) -> pa.Table:
-            n = table.column("n").to_numpy()
-            total = np.zeros(_flat(start()).size)
-            for k, raw in zip(n, table.column("w"), strict=True):
-                total += k * np.frombuffer(raw.as_py(), np.float32)
-            return pa.table({"n": pa.array([int(n.sum())]), "w": pa.array([(total / max(1, n.sum())).astype(np.float32).tobytes()], pa.binary())})
-
-        told = texts.mapInArrow(taught, "n bigint, w binary").where("n > 0").groupBy(F.pmod(F.xxhash64("w"), F.lit(groups))).applyInArrow(averaged, "n bigint, w binary").collect()
-        if told:
-            told.sort(key=lambda x: bytes(x.w))
-            w = _shaped(np.average([np.frombuffer(x.w, np.float32) for x in told], axis=0, weights=[x.n for x in told]))
+    tokens = written(encoded(df, frequent, text, key), "classes")
+    total = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    shards = max(1, round(total / SHARD))
+    dealt = tokens.withColumn("shard", F.pmod("h", F.lit(shards)))
+    for r in range(rounds if total else 0):
+        shared = spark.sparkContext.broadcast(pickle.dumps(w))
+
+        told, left = dealt.groupBy("shard").applyInArrow(_taught(shared, r, rounds, rate), "shard bigint, n bigint, w binary"), shards
+        while left > 1:
+            told = told.withColumn("group", F.floor(F.col("shard") / GROUP)).groupBy("group").applyInArrow(_averaged, "shard bigint, n bigint, w binary")
+            left = math.ceil(left / GROUP)
+        w = _shaped(np.frombuffer(told.collect()[0].w, np.float32))
     return Model(frequent, w, counts, sizes)
 
 
 def log_probabilities(w: dict[str, np.ndarray], token: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """Of each token, given the others."""
+    """Of each token, given the others of its text."""
+    seq, at = padded(token, row)
     by_place = [w["E"] @ w["A"][k] for k in range(len(_PLACES))]
-    around, out = context(token, row, np.arange(len(token))), np.zeros(len(token))
+    last = np.vstack([w["O"], w["b"]])
+    safe = np.abs(last).sum(axis=0).max() <= _SAFE
+    ones, out = np.ones(PAD, np.float32), np.zeros(len(token))
     for a in range(0, len(token), PART):
-        part = around[a : a + PART]
-        h = by_place[0][part[:, 0]].copy()
+        here = at[a : a + PART]
+        h = np.ones((len(here), DIM + 1), np.float32)
+        inner = by_place[0][seq[here + _PLACES[0]]]
         for k in range(1, len(_PLACES)):
-            h += by_place[k][part[:, k]]
-        z = np.tanh(h) @ w["O"] + w["b"]
-        z -= z.max(axis=1, keepdims=True)
-        mine = z[np.arange(len(part)), token[a : a + PART]]
-        out[a : a + PART] = mine - np.log(np.exp(z, out=z).sum(axis=1))
+            inner += by_place[k][seq[here + _PLACES[k]]]
+        np.tanh(inner, out=h[:, :DIM])
+        z = h @ last
+        if not safe:
+            z -= z.max(axis=1, keepdims=True)
+        mine = z[np.arange(len(here)), seq[here]]
+        out[a : a + PART] = mine - np.log(np.exp(z, out=z) @ ones)
     return out
 
 
 def score(df: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, n_tokens, log_likelihood (the sum), mean_log_likelihood for each row of df, over its whole text.
 
-    Null, empty and wordless texts have 0 tokens, the sum 0 and a null mean. Equal texts score alike;
-    repeated rows stay; other columns are not read. A text of over a megabyte comes in pieces, at whose
-    seams SIDE tokens see padding.
+    Null, empty and wordless texts have 0 tokens, the sum 0 and a null mean. Equal texts score alike, to
+    the last few bits; repeated rows stay; other columns are not read. A text is scored as a whole, however long.
 
-    The network judges classes where the texts are read. A batch's rare words go to their parts, by hash,
-    where their counts are, and what each row gains there comes back to the batch.
+    Texts are dealt to blocks. A block asks for the counts of its rare words, each once; words go by hash to
+    the parts where their counts are, and the counts come back to the block, where its texts are then judged.
     """
     spark = df.sparkSession
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(pickle.dumps((model.frequent, model.w)))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    wanted = df.select(F.col(text).cast("string").alias("t"), F.col(key).alias("k"))
-    kind = wanted.schema["k"].dataType.simpleString()
-    columns = ["batch", "k", "n", "total", "row", "part", "words", "rows"]
-    schema = pa.schema([("n", pa.int64()), ("total", pa.float64()), ("row", pa.int32()), ("part", pa.int32()), ("words", pa.binary()), ("rows", pa.binary())])
-
-    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, w = pickle.loads(shared.value)
-        first = TaskContext.get().partitionId() << 32
-        for b, batch in enumerate(batches):
-            size, asked = batch.num_rows, []
-            n, total = np.zeros(size, np.int64), np.zeros(size)
-            for words, row in _texts(batch.column("t")):
-                token = classes(known, words)
-                n += np.bincount(row, minlength=size)
-                total += np.bincount(row, weights=log_probabilities(w, token, row), minlength=size)
-                rare = token >= FREQUENT
-                asked.append((words[rare], row[rare]))
-            own = [pa.array(n), pa.array(total), pa.array(np.arange(size, dtype=np.int32)), *(pa.nulls(size, schema.field(c).type) for c in columns[5:])]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(size, first + b)), batch.column("k"), *own], columns)
-            if not asked:
-                continue
-            words, row = (np.concatenate(c) for c in zip(*asked, strict=True))
-            part = (words >> np.uint64(33)).astype(np.int64) % parts
-            order = np.argsort(part, kind="stable")
-            words, row, part = words[order], row[order].astype(np.int32), part[order]
-            full = np.unique(part)
-            cut = np.searchsorted(part, [full, full + 1])
-            sent = [[c[a:z].tobytes() for a, z in zip(*cut.tolist(), strict=True)] for c in (words, row)]
-            none = [pa.nulls(len(full), t) for t in (batch.column("k").type, pa.int64(), pa.float64(), pa.int32())]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(full), first + b)), *none, pa.array(full.astype(np.int32)), *(pa.array(c, pa.binary()) for c in sent)], columns)
-
-    sizes = model.sizes
+    whole = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(F.col(text).cast("string"))), F.lit(0)).alias("bytes")).first()
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = max(least, math.ceil(whole.bytes / BLOCK_BYTES), math.ceil(whole.n / BLOCK_ROWS))
+    parts = max(least, math.ceil(blocks / 4))
+    docs = df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
+    kind = docs.schema["k"].dataType.simpleString()
+    docs = docs.withColumn("block", F.pmod(F.xxhash64("k", "t"), F.lit(blocks))).repartition(blocks, "block")
+    frequent, sizes = model.frequent, model.sizes
+
+    def asked(group: tuple, table: pa.Table) -> pa.Table:
+        words = np.zeros(0, np.uint64)
+        for own, _ in _texts(table.column("t")):
+            words = np.union1d(words, own[classes(frequent, own) >= FREQUENT])
+        part = (words >> np.uint64(33)).astype(np.int64) % parts
+        order = np.argsort(part, kind="stable")
+        full, first = np.unique(part[order], return_index=True)
+        sent = [x.tobytes() for x in np.split(words[order], first[1:])] if len(full) else []
+        B.release()
+        return pa.table({"part": pa.array(full.astype(np.int32)), "block": pa.array([group[0].as_py()] * len(full), pa.int64()), "words": pa.array(sent, pa.binary())})
 
     def answered(asks: pa.Table, counts: pa.Table) -> pa.Table:
         word, n = counts.column("word").to_numpy().view(np.uint64), counts.column("n").to_numpy()
         order = np.argsort(word)
         word, n = np.append(word[order], np.uint64(0)), np.append(n[order], 0)
         out = []
-        for words, rows in zip(asks.column("words"), asks.column("rows"), strict=True):
-            words, rows = np.frombuffer(words.as_py(), np.uint64), np.frombuffer(rows.as_py(), np.int32)
+        for raw in asks.column("words"):
+            words = np.frombuffer(raw.as_py(), np.uint64)
             at = np.searchsorted(word[:-1], words)
-            seen = np.where(word[at] == words, n[at], 0) + 1
-            gain = np.bincount(rows, weights=np.log(seen / sizes[(words >> np.uint64(48)).astype(np.int64) % RARE]))
-            full = np.unique(rows)
-            out.append((full.tobytes(), gain[full].tobytes()))
-        return pa.table({"batch": asks.column("batch"), "part": asks.column("part"), "rows": pa.array([x[0] for x in out], pa.binary()), "gains": pa.array([x[1] for x in out], pa.binary())})
-
-    def summed(own: pa.Table, gains: pa.Table) -> pa.Table:
-        row, n, total = (own.column(c).to_numpy() for c in ("row", "n", "total"))
-        more = np.zeros(int(row.max(initial=-1)) + 1)
-        # in one order, so that equal texts score alike to the last few bits
-        for _, rows, gain in sorted(zip(gains.column("part").to_pylist(), gains.column("rows").to_pylist(), gains.column("gains").to_pylist(), strict=True)):
-            more[np.frombuffer(rows, np.int32)] += np.frombuffer(gain, np.float64)
-        total = total + more[row]
+            elsewhere = np.maximum(np.where(word[at] == words, n[at], 0) - 1, 0)
+            out.append(np.log((elsewhere + SMOOTH) / sizes[(words >> np.uint64(48)).astype(np.int64) % RARE]).tobytes())
+        B.release()
+        return pa.table({"block": asks.column("block"), "words": asks.column("words"), "gains": pa.array(out, pa.binary())})
+
+    def judged(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        known, w = pickle.loads(shared.value)
+        word, gain = (np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for x in answers.column(c).to_pylist())]) for c, kind in (("words", np.uint64), ("gains", np.float64)))
+        order = np.argsort(word)
+        word, gain = word[order], gain[order]
+        size = docs.num_rows
+        n, total, tokens, rows = np.zeros(size, np.int64), np.zeros(size), [np.zeros(0, np.int16)], [np.zeros(0, np.int32)]
+        for words, row in _texts(docs.column("t")):
+            token = classes(known, words)
+            rare = token >= FREQUENT
+            n += np.bincount(row, minlength=size)
+            total += np.bincount(row[rare], weights=gain[np.searchsorted(word, words[rare])], minlength=size)
+            tokens.append(token.astype(np.int16))
+            rows.append(row.astype(np.int32))
+        row = np.concatenate(rows)
+        total += np.bincount(row, weights=log_probabilities(w, np.concatenate(tokens), row), minlength=size)
+        del word, gain, tokens, rows, row
+        B.release()
         mean = pa.array(total / np.maximum(n, 1), pa.float64(), mask=n == 0)
-        return pa.table({"k": own.column("k"), "n_tokens": own.column("n"), "log_likelihood": pa.array(total), "mean_log_likelihood": mean})
+        return pa.table({"k": docs.column("k"), "n_tokens": pa.array(n), "log_likelihood": pa.array(total), "mean_log_likelihood": mean})
 
-    raw = written(wanted.mapInArrow(judged, f"batch bigint, k {kind}, n bigint, total double, `row` int, part int, words binary, rows binary"), "judged")
+    asks = docs.groupBy("block").applyInArrow(asked, "part int, block bigint, words binary")
     counts = model.counts.withColumn("part", (F.shiftrightunsigned("word", 33) % parts).cast("int"))
-    asks = raw.where("part is not null").select("part", "batch", "words", "rows")
-    gains = asks.groupBy("part").cogroup(counts.groupBy("part")).applyInArrow(answered, "batch bigint, part int, rows binary, gains binary")
-    own = raw.where("part is null").select("batch", "row", "k", "n", "total")
-    scored = own.groupBy("batch").cogroup(gains.groupBy("batch")).applyInArrow(summed, f"k {kind}, n_tokens bigint, log_likelihood double, mean_log_likelihood double")
+    answers = asks.groupBy("part").cogroup(counts.groupBy("part")).applyInArrow(answered, "block bigint, words binary, gains binary").repartition(blocks, "block")
+    scored = docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(judged, f"k {kind}, n_tokens bigint, log_likelihood double, mean_log_likelihood double")
     return scored.withColumnRenamed("k", key)

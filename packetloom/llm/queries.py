@@ -69,7 +69,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    return lm.score(docs, lm.train(docs))
+    return lm.score(docs, lm.train(docs, key="doc_id"))
 
 
 def op10_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:

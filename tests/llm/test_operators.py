@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -338,12 +339,12 @@ def test_lm_predicts_the_word(spark):
     p = {w: r.log_likelihood for r in lm.score(ask, model).collect() for w in [list(hashed)[r.doc_id]]}
     count = {w: 1 + k % 5 for k, w in enumerate(rare)}
     for own in spots.values():
-        base = {p[w] - np.log(1 + count.get(w, 0)) for w in own if hashed[w][0] not in model.frequent}
+        base = {p[w] - np.log(lm.SMOOTH + max(0, count.get(w, 0) - 1)) for w in own if hashed[w][0] not in model.frequent}
         assert max(base) - min(base) < 1e-6
         assert len({round(p[w], 6) for w in own}) > 1
     c = lm.FREQUENT
     own = [w for w in spots[c] if w in count and hashed[w][0] not in model.frequent]
-    assert model.sizes[0] >= sum(count[w] + 1 for w in own) + 1
+    assert abs(model.sizes[0] - sum(count[w] + lm.SMOOTH for w in own) - lm.SMOOTH) < 1e-9
 
 
 def test_chat(spark):
@@ -459,3 +460,50 @@ def test_decontamination_at_a_low_threshold(spark):
 
 def test_letters():
     assert [langid.has_letter(np.frombuffer(t.encode(), np.uint8)) for t in ("½ ²", "Ⅷ 12", "é", "x", "", "12 語")] == [False, False, True, True, False, True]
+
+
+def slow_scores(model, texts):
+    """The pseudo-likelihood of each text, word by word."""
+    counts, out = {r.word: r.n for r in model.counts.collect()}, []
+    w = {k: v.astype(np.float64) for k, v in model.w.items()}
+    for t in texts:
+        raw, offsets = B.column_bytes(pa.array([t]), lower=True)
+        words = toxicity.hashed_words(raw, offsets)[0]
+        token, total = lm.classes(model.frequent, words).tolist(), 0.0
+        for i, c in enumerate(token):
+            h = sum((w["E"][token[i + d] if 0 <= i + d < len(token) else lm.PAD] @ w["A"][k] for k, d in enumerate(d for d in range(-lm.SIDE, lm.SIDE + 1) if d)), np.zeros(lm.DIM))
+            z = np.tanh(h) @ w["O"] + w["b"]
+            total += z[c] - np.log(np.exp(z).sum())
+            if c >= lm.FREQUENT:
+                total += np.log((max(0, counts.get(int(words[i].view(np.int64)), 0) - 1) + lm.SMOOTH) / model.sizes[c - lm.FREQUENT])
+        out.append(total)
+    return out
+
+
+def test_lm_scores_are_the_pseudo_likelihood_in_any_layout(spark):
+    r = random.Random(24)
+    texts = [prose(r.randint(1, 200), r) for _ in range(60)] + ["", "Zürich été", prose(30, r) + " zzz" * 40]
+    texts.append(texts[0])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    models = [lm.train(df.repartition(n), key="doc_id") for n in (1, 7)]
+    assert all(np.array_equal(models[0].w[k], models[1].w[k]) for k in models[0].w)
+    got = {x.doc_id: x.log_likelihood for x in lm.score(df.repartition(5), models[0]).collect()}
+    want = slow_scores(models[1], texts)
+    assert all(abs(got[k] - x) < 1e-3 * max(1, abs(x)) for k, x in enumerate(want)) and abs(got[0] - got[len(texts) - 1]) < 1e-3
+
+
+def test_lm_scores_a_text_of_several_pieces_as_one(spark, monkeypatch):
+    r = random.Random(25)
+    texts = [prose(250_000, r), prose(40, r)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    model = lm.train(df)
+    got = {x.doc_id: (x.n_tokens, x.log_likelihood) for x in lm.score(df, model).collect()}
+    raw, offsets = B.column_bytes(pa.array(texts), lower=True)
+    words, _, bounds = toxicity.hashed_words(raw, offsets)
+    token, counts = lm.classes(model.frequent, words), {x.word: x.n for x in model.counts.collect()}
+    each = lm.log_probabilities(model.w, token, np.repeat(np.arange(2), np.diff(bounds)))
+    rare = token >= lm.FREQUENT
+    each[rare] += [np.log((counts[int(h)] - 1 + lm.SMOOTH) / model.sizes[c - lm.FREQUENT]) for h, c in zip(words[rare].view(np.int64), token[rare], strict=True)]
+    for k in range(2):
+        assert got[k][0] == bounds[k + 1] - bounds[k] and abs(got[k][1] - each[bounds[k] : bounds[k + 1]].sum()) < 1e-3 * abs(got[k][1])
+    assert len(raw) > B.PIECE
