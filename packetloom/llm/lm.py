@@ -159,10 +159,8 @@ def step(w: dict[str, np.ndarray], around: np.ndarray, token: np.ndarray, rate:
     b -= np.ones(n, np.float32) @ p
     dx = (dh @ side.T).reshape(n * k, DIM)
     side -= x.T @ dh
-    flat = around.ravel()
-    order = np.argsort(flat, kind="stable")
-    first = np.flatnonzero(np.diff(flat[order], prepend=-1))
-    w["E"][flat[order[first]]] -= np.add.reduceat(dx[order], first, axis=0)
+    cells = (around.reshape(-1, 1).astype(np.int64) * DIM + np.arange(DIM)).ravel()
+    w["E"] -= np.bincount(cells, weights=dx.ravel(), minlength=(PAD + 1) * DIM).reshape(PAD + 1, DIM).astype(np.float32)
     return float((np.log(total) - mine).mean())
 
 
