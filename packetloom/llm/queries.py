@@ -95,37 +95,22 @@ select c.page_id, host, path, best.rule as rule, coalesce(best.verdict, 'allow')
 from cut c left join fits f on c.page_id = f.page_id
 """ % ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)
 
-_SKETCH = """list_sort(list_distinct(case when len({w}) = 0 then [] else list_transform(range(1, greatest(1, len({w}) - 4) + 1),
-  lambda i: substr(md5(array_to_string(list_slice({w}, i, i + 4), ' ')), 1, 16)) end))"""
-_PRINT = """array_to_string(list_filter({h}, lambda x, i: x < '2' or i <= 16), ',') || case when len({h}) = 0 then '+' when len({h}) <= 16 or len(list_filter({h}, lambda x: x >= '2')) = 0 then ',+' else '' end"""
-_KEPT = "list_filter({h}, lambda x, i: x < '2' or i <= 16)"
-_REACH = "case when {f} like '%+' then 'g' else greatest(coalesce(list_last({k}), ''), '2') end"
-_NEAR = """case when {fa} = {fb} then 1.0 when least(len(list_filter({a}, lambda x: x <= least({ra}, {rb}))), len(list_filter({b}, lambda x: x <= least({ra}, {rb})))) = 0 then 0.0
-  else len(list_intersect(list_filter({a}, lambda x: x <= least({ra}, {rb})), list_filter({b}, lambda x: x <= least({ra}, {rb}))))::double
-  / least(len(list_filter({a}, lambda x: x <= least({ra}, {rb}))), len(list_filter({b}, lambda x: x <= least({ra}, {rb})))) end"""
+_SPLIT = r"list_filter(regexp_split_to_array({t}, '[\x20\x09-\x0D]+'), lambda s: s <> '')"
+_SKETCH = """list_sort(list_distinct(list_filter(case when len({w}) = 0 then [] else list_transform(range(1, greatest(1, len({w}) - 4) + 1),
+  lambda i: substr(md5(array_to_string(list_slice({w}, i, i + 4), ' ')), 1, 12)) end, lambda x: x < '4')))"""
+_PRINT = "substr(md5({t}), 1, 12) || '|' || array_to_string({h}, ',')"
+_NEAR = """case when {a} = {b} then 1.0 when least(len({x}), len({y})) = 0 then 0.0
+  else len(list_intersect({x}, {y}))::double / least(len({x}), len({y})) end"""
 
 _OP10 = f"""
 with d as (select doc_id, coalesce(text, '') as t from documents),
-e as (
-  select doc_id, t, length(t) as n, left(t, length(t) - length(t) // 4)
-    || left(coalesce(lead(t) over (order by doc_id), first_value(t) over (order by doc_id)), length(t) // 4) as e,
-    coalesce(lead(t) over (order by doc_id), first_value(t) over (order by doc_id)) as x from d
-), w as (
-  select doc_id, n, e, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda s: s <> '') as wt,
-    list_filter(regexp_split_to_array(e, '[\\x20\\x09-\\x0D]+'), lambda s: s <> '') as we,
-    list_filter(regexp_split_to_array(x, '[\\x20\\x09-\\x0D]+'), lambda s: s <> '') as wx from e
-), h as (
-  select doc_id, n, e, {_SKETCH.format(w='wt')} as ht, {_SKETCH.format(w='we')} as he, {_SKETCH.format(w='wx')} as hx from w
-), f as (
-  select doc_id, n, e, {_KEPT.format(h='ht')} as kt, {_KEPT.format(h='he')} as ke, {_KEPT.format(h='hx')} as kx,
-    {_PRINT.format(h='ht')} as ft, {_PRINT.format(h='he')} as fe, {_PRINT.format(h='hx')} as fx from h
-), r as (
-  select *, {_REACH.format(f='ft', k='kt')} as rt, {_REACH.format(f='fe', k='ke')} as re, {_REACH.format(f='fx', k='kx')} as rx from f
-)
-select doc_id, n::bigint as n_chars, sha256(e) as edited_sha256, ft as fingerprint, fe as edited_fingerprint,
-  {_NEAR.format(fa='ft', fb='fe', a='kt', b='ke', ra='rt', rb='re')} as near_edited,
-  {_NEAR.format(fa='ft', fb='fx', a='kt', b='kx', ra='rt', rb='rx')} as near_next
-from r
+n as (select doc_id, t, coalesce(lead(t) over (order by doc_id), first_value(t) over (order by doc_id)) as x from d),
+e as (select doc_id, t, x, left(t, length(t) - length(t) // 4) || left(x, length(t) // 4) as e from n),
+w as (select doc_id, t, e, x, {_SPLIT.format(t='t')} as wt, {_SPLIT.format(t='e')} as we, {_SPLIT.format(t='x')} as wx from e),
+h as (select doc_id, t, e, x, {_SKETCH.format(w='wt')} as ht, {_SKETCH.format(w='we')} as he, {_SKETCH.format(w='wx')} as hx from w)
+select doc_id, length(t)::bigint as n_chars, sha256(e) as edited_sha256, {_PRINT.format(t='t', h='ht')} as fingerprint, {_PRINT.format(t='e', h='he')} as edited_fingerprint,
+  {_NEAR.format(a='t', b='e', x='ht', y='he')} as near_edited, {_NEAR.format(a='t', b='x', x='ht', y='hx')} as near_next
+from h
 """
 
 

@@ -1,9 +1,9 @@
 """Document fingerprints: threshold-scaled sketches, by DataFrame functions alone.
 
-Of the hashes of a text's word shingles, every one below a fixed fraction of the hash range is kept.
-What two sketches keep is chosen by the hash and not by the text, so sketches merge by union and
-compare by intersection, and a short text's share of a very long one can be read off. A text too short
-for that keeps its few smallest hashes besides; a comparison then goes as far as both are complete.
+Of the hashes of a text's word shingles, every one below a fixed fraction of the hash range is kept, the
+same fraction for all texts. What two sketches keep is chosen by the hash and not by the text, so sketches
+merge by union and compare by intersection, and a short text's share of a very long one can be read off.
+A digest of the whole text stands before them: it tells equal texts, also those too short to keep a hash.
 """
 
 from __future__ import annotations
@@ -11,76 +11,57 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Hashes are the first 16 hex digits of MD5; those below this digit are kept: 2 of 16.
-BELOW = "2"
-SHINGLE = 5
-#: A sketch keeps at least so many smallest hashes, if there are as many.
-LEAST = 16
-#: Digits of a hash. A fingerprint lists hashes in ascending order, by commas; last "+" if it has all of its text's.
-DIGITS = 16
-
-
-def sketch(text: Column, below: str = BELOW, size: int = SHINGLE, least: int = LEAST) -> Column:
-    """The fingerprint of a text column: a string. Null and wordless texts give "+"."""
-    split = F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-
-    def hashes(words: Column) -> Column:
-        last = F.size(words) - size + 1
-        each = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), last)), lambda i: F.substring(F.md5(F.array_join(F.slice(words, i, F.lit(size)), " ")), 1, DIGITS))
-        return F.when(F.size(words) == 0, F.array().cast("array<string>")).otherwise(each)
+from packetloom.llm._shared import written
 
-    def chosen(h: Column) -> Column:
-        return F.struct(h.alias("all"), F.filter(h, lambda x: x < below).alias("low"))
-
-    def shown(c: Column) -> Column:
-        low = F.sort_array(F.array_distinct(c["low"]))
-        # few below the fraction: a short text, whose smallest hashes count besides
-        few = F.transform(F.array(F.sort_array(F.array_distinct(c["all"]))), lambda h: F.when(F.size(h) <= least, F.array_append(h, F.lit("+"))).otherwise(F.slice(h, 1, least)))[0]
-        many = F.when(F.size(c["low"]) == F.size(c["all"]), F.array_append(low, F.lit("+"))).otherwise(low)
-        return F.array_join(F.when(F.size(low) < least, few).otherwise(many), ",")
+#: Hashes are the first DIGITS hex digits of MD5; those below this digit are kept: 4 of 16.
+BELOW = "4"
+DIGITS = 12
+SHINGLE = 5
 
-    # each transform() over one element binds what it holds, so that it is computed once
-    return F.transform(F.transform(F.transform(F.array(split), hashes), chosen), shown)[0]
 
+def sketch(text: Column, below: str = BELOW, size: int = SHINGLE) -> Column:
+    """The fingerprint of a text column: the text's digest, "|", and the hashes kept, ascending, by commas. A null text is empty."""
+    whole = F.coalesce(text, F.lit(""))
+    split = F.filter(F.split(whole, r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
-def _reach(hashes: Column, below: str) -> Column:
-    """Hashes up to here are all in the sketch: any if it is whole, else its largest or the fraction."""
-    last = F.element_at(hashes, -1)
-    return F.when(last == "+", F.lit("g")).otherwise(F.greatest(last, F.lit(below)))
+    def kept(words: Column) -> Column:
+        last = F.greatest(F.lit(1), F.size(words) - size + 1)
+        each = F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(F.md5(F.array_join(F.slice(words, i, F.lit(size)), " ")), 1, DIGITS))
+        return F.when(F.size(words) == 0, F.array().cast("array<string>")).otherwise(F.sort_array(F.array_distinct(F.filter(each, lambda h: h < below))))
 
+    # transform() over one element binds the words, so that they are split once
+    hashes = F.transform(F.array(split), kept)[0]
+    return F.concat(F.substring(F.md5(whole), 1, DIGITS), F.lit("|"), F.array_join(hashes, ","))
 
-def likeness(a: Column, b: Column, below: str = BELOW) -> Column:
-    """Estimated containment of the smaller of two texts in the other, 0 to 1; 1 for equal fingerprints.
 
-    Counted over the hashes that both sketches would have kept. Where the one has none there, 0.
-    """
+def hashes_of(fingerprint: Column) -> Column:
+    """The array of hashes that a fingerprint keeps."""
+    return F.filter(F.split(F.substring_index(fingerprint, "|", -1), ","), lambda h: h != "")
 
-    def ranged(s: Column) -> Column:
-        return F.struct(s["x"].alias("x"), s["y"].alias("y"), F.least(_reach(s["x"], below), _reach(s["y"], below)).alias("r"))
 
-    def cut(s: Column) -> Column:
-        return F.struct(*[F.filter(s[c], lambda h: (h <= s["r"]) & (h != "+")).alias(c) for c in "xy"])
+def likeness(a: Column, b: Column) -> Column:
+    """Estimated containment of the smaller of two texts in the other, 0 to 1; 1 for equal texts, 0 where another text keeps no hash."""
 
     def compared(s: Column) -> Column:
         least = F.least(F.size(s["x"]), F.size(s["y"]))
         return F.when(least > 0, F.size(F.array_intersect(s["x"], s["y"])) / least).otherwise(F.lit(0.0))
 
-    both = F.array(F.struct(F.split(a, ",").alias("x"), F.split(b, ",").alias("y")))
-    return F.when(a == b, F.lit(1.0)).otherwise(F.transform(F.transform(F.transform(both, ranged), cut), compared)[0])
+    both = F.array(F.struct(hashes_of(a).alias("x"), hashes_of(b).alias("y")))
+    return F.when(a == b, F.lit(1.0)).otherwise(F.transform(both, compared)[0])
 
 
-def merge(fingerprints: Column, below: str = BELOW) -> Column:
-    """The sketch of several texts together, from an array of theirs: the union of what is below the fraction."""
-    all_of = F.array_sort(F.array_distinct(F.flatten(F.transform(fingerprints, lambda f: F.split(f, ",")))))
-    return F.array_join(F.filter(all_of, lambda h: (h < below) & (h != "+")), ",")
+def merge(fingerprints: Column) -> Column:
+    """The sketch of several texts together, from an array of theirs: the union of what they keep, without a digest."""
+    return F.concat(F.lit("|"), F.array_join(F.sort_array(F.array_distinct(F.flatten(F.transform(fingerprints, hashes_of)))), ","))
 
 
 def successors(ids: DataFrame, *columns: str) -> DataFrame:
     """ids with _prev: a struct of columns of the row before in ascending order of columns; the last row's for the first.
 
-    ids must have no repeats. Sorted by range; only the last row of each range meets the others'.
+    ids must have no repeats. Sorted by range, and written, so that a lost executor doesn't number ranges
+    anew; only the last row of each range meets the others'.
     """
-    ranged = ids.repartitionByRange(*columns).withColumn("_range", F.spark_partition_id())
+    ranged = written(ids.repartitionByRange(*columns).withColumn("_range", F.spark_partition_id()), "ranges")
     here = F.struct(*columns)
     inside = ranged.withColumn("_prev", F.lag(here).over(Window.partitionBy("_range").orderBy(*columns)))
     ends = ranged.groupBy("_range").agg(F.max(here).alias("_last"))
@@ -100,13 +81,12 @@ def fingerprint_documents(df: DataFrame, text: str = "text", key: str = "doc_id"
     base = df.select(F.col(key).alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t")).withColumn("h", F.xxhash64("t"))
     order = base.select(F.struct("k", "h").alias("at"), F.length("t").alias("n")).groupBy("at").agg(F.max("n").alias("n"))
     order = successors(order, "at", "n")
-    id_of = lambda c: F.xxhash64(F.col(c)["at"] if c == "_prev" else F.col(c))
-    order = order.select(id_of("at").alias("id"), id_of("_prev").alias("prev"), F.floor(F.col("_prev")["n"] / 4).cast("int").alias("want"))
-    # the texts are dealt once, by id: both branches below read all columns of that exchange
-    own = base.select(F.xxhash64(F.struct("k", "h")).alias("id"), "k", "t")
-    handed = own.join(order, "id").select(F.col("prev").alias("id"), "k", F.expr("substring(t, 1, want)").alias("head"), sketch(F.col("t")).alias("next_fp"))
-    handed = handed.groupBy("id").agg(F.max_by(F.struct("head", "next_fp"), F.struct("k")).alias("_n"))
+    order = order.select("at", F.col("_prev")["at"].alias("prev"), F.floor(F.col("_prev")["n"] / 4).cast("int").alias("want"))
+    # texts and their sketches are dealt once: both branches below read all columns of that exchange
+    own = base.select(F.struct("k", "h").alias("at"), "k", "t", sketch(F.col("t")).alias("fp"))
+    handed = own.join(order, "at").select(F.col("prev").alias("at"), "k", F.expr("substring(t, 1, want)").alias("head"), F.col("fp").alias("next_fp"))
+    handed = handed.groupBy("at").agg(F.max_by(F.struct("head", "next_fp"), F.struct("k")).alias("_n"))
     n = F.length("t")
-    joined = own.join(handed, "id").withColumn("fp", sketch(F.col("t"))).withColumn("edited", F.concat(F.expr("substring(t, 1, length(t) - cast(floor(length(t) / 4) as int))"), F.col("_n.head")))
+    joined = own.join(handed, "at").withColumn("edited", F.concat(F.expr("substring(t, 1, length(t) - cast(floor(length(t) / 4) as int))"), F.col("_n.head")))
     out = joined.select(F.col("k").alias(key), n.cast("long").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), F.col("fp").alias("fingerprint"), sketch(F.col("edited")).alias("edited_fingerprint"), F.col("_n.next_fp").alias("next_fp"))
     return out.withColumns({"near_edited": likeness(F.col("fingerprint"), F.col("edited_fingerprint")), "near_next": likeness(F.col("fingerprint"), F.col("next_fp"))}).drop("next_fp")

@@ -378,9 +378,8 @@ def test_urls(spark, limit):
 
 def slow_sketch(text):
     words = [w for w in (text or "").split() if w]
-    h = sorted({hashlib.md5(" ".join(words[i : i + 5]).encode()).hexdigest()[:16] for i in range(max(1, len(words) - 4))}) if words else []
-    kept = [x for k, x in enumerate(h) if x < "2" or k < 16]
-    return ",".join([*kept, *(["+"] if len(kept) == len(h) else [])])
+    h = {hashlib.md5(" ".join(words[i : i + 5]).encode()).hexdigest()[:12] for i in range(max(1, len(words) - 4))} if words else set()
+    return hashlib.md5((text or "").encode()).hexdigest()[:12] + "|" + ",".join(sorted(x for x in h if x < "4"))
 
 
 def test_sketch(docs, rows):
@@ -507,3 +506,14 @@ def test_lm_scores_a_text_of_several_pieces_as_one(spark, monkeypatch):
     for k in range(2):
         assert got[k][0] == bounds[k + 1] - bounds[k] and abs(got[k][1] - each[bounds[k] : bounds[k + 1]].sum()) < 1e-3 * abs(got[k][1])
     assert len(raw) > B.PIECE
+
+
+def test_sketches_of_short_texts_merge(spark):
+    r = random.Random(26)
+    short = [prose(r.randint(1, 12), r) for _ in range(60)]
+    long = " yy ".join(prose(20, r) + " " + t for t in short)
+    df = spark.createDataFrame([(short, long, "", "one")], "a array<string>, b string, c string, d string")
+    each = F.transform("a", lambda t: sketch.sketch(t))
+    got = df.select(sketch.hashes_of(sketch.merge(each)).alias("m"), each.alias("e"), sketch.likeness(sketch.merge(each), sketch.merge(F.array_append(each, sketch.sketch(F.col("b"))))).alias("x"), sketch.likeness(sketch.sketch(F.col("c")), sketch.sketch(F.lit(None).cast("string"))).alias("same"), sketch.likeness(sketch.sketch(F.col("c")), sketch.sketch(F.col("d"))).alias("other")).first()
+    assert set(got.m) == {h for t in short for h in slow_sketch(t).split("|")[1].split(",") if h} and got.m
+    assert got.x == 1.0 and got.same == 1.0 and got.other == 0.0
