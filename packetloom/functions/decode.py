@@ -13,6 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ETHERNET = 14
+# Extension headers that are walked (hop-by-hop, routing, fragment, authentication, destination), and limits.
+_EXTENSIONS = (0, 43, 44, 51, 60)
+MAX_EXTENSIONS, MAX_EXTENSION_BYTES = 8, 512
 
 
 def _at(offset: Column | int) -> Column:
@@ -99,6 +102,21 @@ _FLAT = "family int, src_addr binary, dst_addr binary, protocol string, src_port
 _NOTHING = (None, None, None, None, None, None, False, None, None, False, False, False, False, None, None, None, None, None)
 
 
+def _after_extensions(d: bytes, at: int, stop: int, kind: int) -> tuple[int, int | None]:
+    """Where the transport header of an IPv6 packet begins, and its protocol: None behind a later fragment or a chain that can't be read."""
+    start, count = at, 0
+    if kind == 0 and stop == at:
+        return at, None
+    while kind in _EXTENSIONS:
+        size = 8 if kind == 44 or at + 2 > len(d) else (d[at + 1] + 2) * 4 if kind == 51 else (d[at + 1] + 1) * 8
+        if (kind == 0 and count) or at + size > min(stop, len(d)) or count == MAX_EXTENSIONS or at + size - start > MAX_EXTENSION_BYTES or (kind == 51 and (size < 12 or size % 8)):
+            return at, None
+        if kind == 44 and int.from_bytes(d[at + 2 : at + 4], "big") >> 3:
+            return at, None
+        kind, at, count = d[at], at + size, count + 1
+    return at, kind
+
+
 def _flat(d: bytes | None) -> tuple:
     """The columns of _FLAT for one frame."""
     if d is None or len(d) < 14:
@@ -110,7 +128,8 @@ def _flat(d: bytes | None) -> tuple:
         family, src, dst, after = 4, d[at + 12 : at + 16], d[at + 16 : at + 20], at + (d[at] & 15) * 4
         proto = None if int.from_bytes(d[at + 6 : at + 8], "big") & 0x1FFF else d[at + 9]
     elif kind == 0x86DD and len(d) >= at + 40 and d[at] >> 4 == 6:
-        family, src, dst, after, proto = 6, d[at + 8 : at + 24], d[at + 24 : at + 40], at + 40, d[at + 6]
+        family, src, dst = 6, d[at + 8 : at + 24], d[at + 24 : at + 40]
+        after, proto = _after_extensions(d, at + 40, at + 40 + int.from_bytes(d[at + 4 : at + 6], "big"), d[at + 6])
     else:
         return _NOTHING
     seq = ack_no = dns = None
@@ -134,7 +153,7 @@ def _flat(d: bytes | None) -> tuple:
 def flat_packets(frames: DataFrame) -> DataFrame:
     """Flow columns of Ethernet frames (data): network, transport and DNS header, for the flow operators.
 
-    One VLAN tag is skipped. Fragments after the first, other protocols and cut headers give nulls, and
+    One VLAN tag and IPv6 extension headers are skipped. Fragments after the first, other protocols and cut headers give nulls, and
     such packets have no flow. The chain of headers, each placed by the one before, is one Arrow pass;
     single headers at known places are the native columns above.
     """

@@ -15,15 +15,22 @@ def instant(seconds: Column, fraction: Column) -> Column:
     return F.when(seconds.isNotNull() & fraction.isNotNull(), F.struct(seconds.alias("seconds"), fraction.alias("fraction")))
 
 
-def duration(start: Column, end: Column, ticks_per_second: int = MICRO, exact: bool = False) -> Column:
-    """Ticks from start to end; null if either is, or end comes first.
+def ticks_per_second(kind: Column, exponent: Column) -> Column:
+    """10 or 2 to the exponent; null where that is no bigint, or the resolution is not known."""
+    ten = F.when(exponent.between(0, 18), F.concat(F.lit("1"), F.repeat(F.lit("0"), exponent)).cast("bigint"))
+    two = F.when(exponent.between(0, 62), F.expr("1L") * F.pow(F.lit(2.0), exponent).cast("bigint"))
+    return F.when(kind == "decimal", ten).when(kind == "binary", two)
+
+
+def duration(start: Column, end: Column, ticks_per_second: Column | int = MICRO, exact: bool = False) -> Column:
+    """Ticks from start to end; null if either is, or end comes first, or a second's ticks are null.
 
     Unless exact, a duration that would borrow a second (a smaller fraction at the end) is null too:
     the behaviour that this engine's users have relied on. Overflow gives null.
     """
     later = (end["seconds"] > start["seconds"]) | ((end["seconds"] == start["seconds"]) & (end["fraction"] >= start["fraction"]))
     fine = later if exact else later & (end["fraction"] >= start["fraction"])
-    ticks = F.try_add(F.try_multiply(F.try_subtract(end["seconds"], start["seconds"]), F.lit(ticks_per_second)), end["fraction"] - start["fraction"])
+    ticks = F.try_add(F.try_multiply(F.try_subtract(end["seconds"], start["seconds"]), ticks_per_second if isinstance(ticks_per_second, Column) else F.lit(ticks_per_second)), end["fraction"] - start["fraction"])
     return F.when(fine, ticks)
 
 

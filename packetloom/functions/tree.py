@@ -255,7 +255,7 @@ class EthernetDecoder:
         if stop > end:
             t.found(100, TRUNCATED, at + 4, 2)
         routed = fragmented = later = False
-        count, start = 0, o
+        count, start, selector = 0, o, at + 6  # selector: where the next header's kind stands
         while kind in (0, 43, 44, 51, 60):
             if kind == 0 and count:
                 return t.found(120, MALFORMED, o, min(1, max(0, end - o)))
@@ -263,7 +263,10 @@ class EthernetDecoder:
             if o + (8 if kind == 44 else 2) > stop or o + size > stop or (kind == 51 and (size < 12 or size % 8)):
                 return t.found(120, MALFORMED, o, max(0, min(end, stop) - o))
             if count == MAX_EXTENSIONS or o + size - start > MAX_EXTENSION_BYTES:
-                return t.found(110, LIMIT, o, max(0, end - o))
+                root = t.add("unsupported_ipv6_extension_chain", selector, 1)
+                t.layers.append({"layer_index": len(t.layers), "protocol": "unsupported", "start": selector, "length": 1, "root_field": root})
+                t.add("next_header", selector, 1, root, "unsigned", kind)
+                return t.found(110, LIMIT, selector, 1)
             if o + size > end:
                 return t.found(100, TRUNCATED, o, max(0, end - o))
             name = {0: "hop_by_hop_options", 43: "routing", 44: "fragment", 51: "authentication", 60: "destination_options"}[kind]
@@ -286,7 +289,7 @@ class EthernetDecoder:
                     t.add("data", o + 4, size - 4, root, "bytes")
                 else:
                     t.add("data", o + 2, size - 2, root, "bytes")
-            kind, o, count = d[o], o + size, count + 1
+            kind, selector, o, count = d[o], o, o + size, count + 1
             if later:
                 return None
         if kind == 50:
@@ -441,7 +444,7 @@ RDATA = {1: "address x", 28: "address x", 2: "name_server n", 5: "canonical_name
 class DnsReader:
     def __init__(self, t: Tree, root: int, start: int, end: int):
         self.t, self.d, self.root, self.start, self.end = t, t.data, root, start, end
-        self.names = 0
+        self.names = self.texts = 0
         self.boundaries: set[int] = set()  #: where labels of read names begin, from the message's start
 
     def fail(self, priority: int, at: int) -> None:
@@ -514,6 +517,15 @@ class DnsReader:
             self.fail(120, o)
 
     def record(self, label: str, at: int) -> int:
+        """Adds a record, or nothing of one that can't be read."""
+        before = len(self.t.fields)
+        try:
+            return self.whole_record(label, at)
+        except DnsFault:
+            del self.t.fields[before:]
+            raise
+
+    def whole_record(self, label: str, at: int) -> int:
         r = self.t.add(label, at, 0, self.root)
         o = self.add_name("name", at, r)
         self.need(o, 10)
@@ -527,10 +539,11 @@ class DnsReader:
         if kind in (1, 28) and end - o != (4 if kind == 1 else 16):
             self.fail(120, o)
         if kind == 16:
-            count = 0
+            if o == end:
+                self.fail(120, o - 2)
             while o < end:
-                count += 1
-                if count > DNS_TEXTS:
+                self.texts += 1  # of the whole message
+                if self.texts > DNS_TEXTS:
                     self.fail(110, o)
                 self.need(o, 1 + self.d[o], end)
                 self.t.add("text", o + 1, self.d[o], r, "bytes")

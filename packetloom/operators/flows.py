@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from packetloom.functions.time import duration, instant
+from packetloom.functions.time import MICRO, duration, instant, ticks_per_second
 
 KEY = ["capture_id", "interface_id", "protocol", "a", "b"]
 # Thresholds and size classes.
@@ -24,12 +24,14 @@ def flow_packets(packets: DataFrame) -> DataFrame:
     """Eligible packets with key (a <= b) and direction; others are left out.
 
     A packet needs an address pair and a TCP or UDP layer with both ports. Equal endpoints have the
-    direction unknown, which counts on side a.
+    direction unknown, which counts on side a. tps: ticks of a second, by the packet's resolution; microseconds
+    where packets have none.
     """
     src = F.struct(F.col("family"), F.col("src_addr").alias("addr"), F.col("src_port").alias("port"))
     dst = F.struct(F.col("family"), F.col("dst_addr").alias("addr"), F.col("dst_port").alias("port"))
     some = packets.where(F.col("protocol").isin("tcp", "udp") & F.col("src_port").isNotNull() & F.col("dst_port").isNotNull() & F.col("src_addr").isNotNull() & F.col("dst_addr").isNotNull())
-    with_ends = some.withColumns({"_s": src, "_d": dst})
+    known = {"res_kind", "res_exp"} <= set(packets.columns)
+    with_ends = some.withColumns({"_s": src, "_d": dst, "tps": ticks_per_second(F.col("res_kind"), F.col("res_exp")) if known else F.lit(MICRO).cast("bigint")})
     return with_ends.withColumns({
         "a": F.least("_s", "_d"), "b": F.greatest("_s", "_d"),
         "direction": F.when(F.col("_s") < F.col("_d"), "a_to_b").when(F.col("_s") > F.col("_d"), "b_to_a").otherwise("unknown"),
@@ -38,13 +40,19 @@ def flow_packets(packets: DataFrame) -> DataFrame:
     }).drop("_s", "_d")
 
 
+def _resolution() -> Column:
+    """The ticks of a second of all packets of a group, null where they are not alike."""
+    low, high, none = F.min("tps"), F.max("tps"), F.count_if(F.col("tps").isNull() & F.col("t").isNotNull())
+    return F.when((low == high) & (none == 0), low).alias("ticks_per_second")
+
+
 def _totals() -> list[Column]:
     from_b = F.col("direction") == "b_to_a"
     size = F.col("captured_length")
     return [
         F.count_if(~from_b).alias("packets_a_to_b"), F.count_if(from_b).alias("packets_b_to_a"),
         F.coalesce(F.sum(F.when(~from_b, size)), F.lit(0)).alias("bytes_a_to_b"), F.coalesce(F.sum(F.when(from_b, size)), F.lit(0)).alias("bytes_b_to_a"),
-        F.min("t").alias("first_t"), F.max("t").alias("last_t"), F.min("packet_id").alias("first_packet"), F.bool_or("truncated").alias("truncation_seen"),
+        F.min("t").alias("first_t"), F.max("t").alias("last_t"), F.min("packet_id").alias("first_packet"), F.bool_or("truncated").alias("truncation_seen"), _resolution(),
     ]
 
 
@@ -147,42 +155,45 @@ def dns_epochs(packets: DataFrame, timed: bool) -> DataFrame:
     row = F.struct(F.col("packet_id").alias("id"), F.col("t").alias("t"))
     return d.groupBy(*KEY, "dns_txid", "epoch").agg(
         F.min(F.when(asks, row)).alias("first_query"), F.max(F.when(asks, row)).alias("last_query"),
-        F.min(F.when(response, row)).alias("response"), F.coalesce(F.max(F.when(response, F.col("dns_rcode"))), F.lit(0)).alias("rcode"),
+        _resolution(), F.min(F.when(response, row)).alias("response"), F.coalesce(F.max(F.when(response, F.col("dns_rcode"))), F.lit(0)).alias("rcode"),
     )
 
 
 def dns_latency(packets: DataFrame, exact: bool = False) -> DataFrame:
     """Least ticks from a flow's first pending query to its response."""
-    return dns_epochs(packets, timed=True).withColumn("ticks", duration(F.col("first_query")["t"], F.col("response")["t"], exact=exact)).groupBy(*KEY).agg(F.min("ticks").alias("dns_response_ticks")).where("dns_response_ticks is not null")
+    return dns_epochs(packets, timed=True).withColumn("ticks", duration(F.col("first_query")["t"], F.col("response")["t"], F.col("ticks_per_second"), exact)).groupBy(*KEY).agg(F.min("ticks").alias("dns_response_ticks")).where("dns_response_ticks is not null")
 
 
 def flow_metrics(packets: DataFrame, exact: bool = False) -> DataFrame:
-    """A row for each flow: totals, duration, sizes, latencies, partial_capture. UDP flows are always partial."""
+    """A row for each flow: totals, duration, sizes, latencies, partial_capture. UDP flows are always partial.
+
+    Durations are in ticks of the flow's own resolution, ticks_per_second; null where its packets' differ.
+    """
     base = flow_packets(packets).groupBy(*KEY).agg(*_totals(), *size_columns())
-    tcp = tcp_flows(packets).select(*KEY, F.nullif(duration(F.col("syn_t"), F.col("established_t"), exact=exact), F.lit(0)).alias("handshake_ticks"), F.nullif(duration(F.col("established_t"), F.col("data_t"), exact=exact), F.lit(0)).alias("first_data_ticks"), "partial_capture")
+    tcp = tcp_flows(packets).select(*KEY, F.nullif(duration(F.col("syn_t"), F.col("established_t"), F.col("ticks_per_second"), exact), F.lit(0)).alias("handshake_ticks"), F.nullif(duration(F.col("established_t"), F.col("data_t"), F.col("ticks_per_second"), exact), F.lit(0)).alias("first_data_ticks"), "partial_capture")
     out = base.join(tcp, KEY, "left").join(dns_latency(packets, exact), KEY, "left")
     return out.withColumns({
-        "duration_ticks": duration(F.col("first_t"), F.col("last_t"), exact=exact),
+        "duration_ticks": duration(F.col("first_t"), F.col("last_t"), F.col("ticks_per_second"), exact),
         "partial_capture": F.coalesce("partial_capture", F.lit(True)),
         "packets_total": F.col("packets_a_to_b") + F.col("packets_b_to_a"), "bytes_total": F.col("bytes_a_to_b") + F.col("bytes_b_to_a"),
     })
 
 
-def anomalies(packets: DataFrame, exact: bool = False, ticks_per_second: int = 1_000_000) -> DataFrame:
+def anomalies(packets: DataFrame, exact: bool = False) -> DataFrame:
     """Findings: key, kind, kind_order, confidence, limitations (joined by comma), first, second (evidence packets).
 
     A flow seen from one side, or with truncated packets, has limitations, and then nothing is certain.
     """
     tcp = tcp_flows(packets)
     first = F.col("first_syn")
-    handshake = duration(F.col("syn_t"), F.col("established_t"), ticks_per_second, exact)
+    handshake = duration(F.col("syn_t"), F.col("established_t"), F.col("ticks_per_second"), exact)
     no = F.lit(None).cast("bigint")
     cases = [
         (0, first.isNotNull() & F.col("syn_ack").isNull() & F.col("reset").isNull(), "inferred", first, no),
         (1, F.col("repeated_syn").isNotNull(), "certain", first, F.col("repeated_syn")),
         (2, F.col("reset").isNotNull() & first.isNotNull(), "certain", first, F.col("reset")),
         (5, F.greatest("retransmissions_a", "retransmissions_b") >= RETRANSMISSIONS, "inferred", F.col("retransmission")["first"], F.col("retransmission")["second"]),
-        (6, handshake > LONG_HANDSHAKE_SECONDS * ticks_per_second, "inferred", first, F.col("established")),
+        (6, handshake > F.try_multiply(F.col("ticks_per_second"), F.lit(LONG_HANDSHAKE_SECONDS)), "inferred", first, F.col("established")),
     ]
     found = F.filter(F.array(*[F.when(c, F.struct(F.lit(k).alias("kind_order"), F.lit(conf).alias("base"), a.alias("first"), b.alias("second"))) for k, c, conf, a, b in cases]), lambda x: x.isNotNull())
     from_tcp = tcp.select(*KEY, F.explode(found).alias("x")).select(*KEY, "x.*")
@@ -202,10 +213,10 @@ def anomalies(packets: DataFrame, exact: bool = False, ticks_per_second: int = 1
 def timeline(packets: DataFrame, exact: bool = False) -> DataFrame:
     """Messages of each flow in packet order: message_index, lane (a or b), offset_ticks since the flow's first time."""
     flow = Window.partitionBy(*KEY)
-    fp = flow_packets(packets).withColumn("_first", F.min("t").over(flow))
+    fp = flow_packets(packets).withColumns({"_first": F.min("t").over(flow), "_low": F.min("tps").over(flow), "_high": F.max("tps").over(flow)})
     return fp.select(
         *KEY, (F.row_number().over(flow.orderBy("packet_id")) - 1).cast("bigint").alias("message_index"), "packet_id", "direction",
-        F.when(F.col("direction") == "b_to_a", "b").otherwise("a").alias("lane"), F.col("captured_length").alias("size"), duration(F.col("_first"), F.col("t"), exact=exact).alias("offset_ticks"),
+        F.when(F.col("direction") == "b_to_a", "b").otherwise("a").alias("lane"), F.col("captured_length").alias("size"), duration(F.col("_first"), F.col("t"), F.when(F.col("_low") == F.col("_high"), F.col("_low")), exact).alias("offset_ticks"),
     )
 
 

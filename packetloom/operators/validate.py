@@ -38,9 +38,10 @@ def check_sections(sections: DataFrame) -> DataFrame:
 
 def check_fields(fields: DataFrame, packets: DataFrame) -> DataFrame:
     """Fields inside their packet and their parent, after it, with a parent that exists."""
-    parent = fields.select("packet_id", F.col("field_id").alias("parent_id"), F.col("start").alias("p0"), (F.col("start") + F.col("length")).alias("p1"))
-    j = fields.where("parent_id is not null").join(parent, ["packet_id", "parent_id"], "left")
-    inside = fields.join(packets.select("packet_id", "captured_length"), "packet_id", "left")
+    keys = ["capture_id", "packet_id"] if "capture_id" in fields.columns and "capture_id" in packets.columns else ["packet_id"]
+    parent = fields.select(*keys, F.col("field_id").alias("parent_id"), F.col("start").alias("p0"), (F.col("start") + F.col("length")).alias("p1"))
+    j = fields.where("parent_id is not null").join(parent, [*keys, "parent_id"], "left")
+    inside = fields.join(packets.select(*keys, "captured_length"), keys, "left")
     return reduce(DataFrame.unionByName, [
         _count("field_parent_missing", j.where("p0 is null")), _count("field_before_parent", j.where("field_id <= parent_id")),
         _count("field_outside_parent", j.where("start < p0 or start + length > p1")), _count("field_outside_packet", inside.where("captured_length is null or start < 0 or start + length > captured_length")),

@@ -14,6 +14,7 @@ from packetloom.operators import correlate as C
 from packetloom.operators import flows as X
 from packetloom.operators import paging as G
 from packetloom.operators import validate as V
+from packetloom.plans import wire
 from packetloom.plans.frames import frames
 from packetloom.plans.trace import events_trace
 from packetloom.sources import pcap as S
@@ -159,7 +160,7 @@ R.add("flow_key_directions", lambda p: ends(X.flow_packets(p)).select("packet_id
 R.add("flows_bidirectional", lambda p: ends(X.bidirectional_flows(p)).select(*_KEYS, *_FLOW_COLUMNS[:4], _micros("first_t"), _micros("last_t")), _sql(_FLOWS, select=f"select {_K}, {', '.join(_FLOW_COLUMNS)} from flows"))
 R.add("flow_totals", lambda p: ends(X.bidirectional_flows(p)).select(*_KEYS, "packets_total", "bytes_total"), _sql(_FLOWS, select=f"select {_K}, packets_total, bytes_total from flows"))
 R.add("flow_ids", lambda p: ends(X.flow_ids(X.bidirectional_flows(p))).select("flow_id", *_KEYS), _sql(_FLOWS, select=f"select row_number() over (order by interface_id, protocol, length(a_addr), a_addr, a_port, length(b_addr), b_addr, b_port) - 1 as flow_id, {_K} from flows"))
-R.add("flow_duration", lambda p: ends(X.bidirectional_flows(p)).select(*_KEYS, X.duration(F.col("first_t"), F.col("last_t")).alias("duration_ticks")), _sql(_FLOWS, select=f"select {_K}, {_dur('first_t', 'last_t')} as duration_ticks from flows"))
+R.add("flow_duration", lambda p: ends(X.bidirectional_flows(p)).select(*_KEYS, X.duration(F.col("first_t"), F.col("last_t"), F.col("ticks_per_second")).alias("duration_ticks")), _sql(_FLOWS, select=f"select {_K}, {_dur('first_t', 'last_t')} as duration_ticks from flows"))
 _SIZES = ["size_min", "size_max", *(f"bin{k}" for k in range(8))]
 R.add("packet_size_distribution", lambda p: ends(X.flow_packets(p).groupBy(*X.KEY).agg(*X.size_columns())).select(*_KEYS, F.col("size_count").alias("packets_total"), F.col("size_sum").alias("bytes_total"), *_SIZES), _sql(_FLOWS, select=f"select {_K}, packets_total, bytes_total, {', '.join(_SIZES)} from flows"))
 _METRICS = ["packets_total", "bytes_total", *_FLOW_COLUMNS[:4], *_SIZES, "duration_ticks", "handshake_ticks", "first_data_ticks", "dns_response_ticks", "partial_capture"]
@@ -244,15 +245,14 @@ def _trees(p: DataFrame) -> DataFrame:
 
 
 R.add("layer_tree", lambda p: T.table(_trees(p), "layers").select("packet_id", "layer_index", "protocol", "start", "length").where("protocol <> 'dns'").select("packet_id", F.col("layer_index").cast("bigint").alias("layer_index"), "protocol", F.col("start").cast("bigint").alias("start"), F.col("length").cast("bigint").alias("length")), _sql(_WIRE, select="select packet_id, l.layer_index::bigint as layer_index, l.protocol as protocol, l.start::bigint as start, l.length::bigint as length from (select packet_id, unnest(list_filter([{'layer_index': 0, 'protocol': 'ethernet', 'start': 0, 'length': 14}, case when tagged then {'layer_index': 1, 'protocol': 'vlan', 'start': 12, 'length': 6} end, {'layer_index': 1 + tagged::int, 'protocol': case when family = 4 then 'ipv4' else 'ipv6' end, 'start': n, 'length': net}, {'layer_index': 2 + tagged::int, 'protocol': protocol, 'start': n + net, 'length': case when protocol = 'tcp' then 20 else 8 end}], lambda x: x is not null)) as l from w)"))
-R.add("string_dictionary", lambda p: C.dictionary(T.table(_trees(p), "fields")), "select unnest(['destination', 'source', 'ether_type']) as name")
-R.add("protocol_diagnostics", lambda p: T.table(_trees(p), "diagnostics").select("packet_id", F.col("code").cast("bigint").alias("code"), "severity"))
-R.add("field_preorder", lambda p: C.preorder(T.table(_trees(p), "fields"), 1024).select("packet_id", F.col("position"), "name"), _sql(_WIRE, select="select packet_id, unnest([0, 1, 2, 3])::bigint as position, unnest(['ethernet', 'destination', 'source', 'ether_type']) as name from w"))
+R.add("string_dictionary", lambda p: C.dictionary(T.table(_trees(p), "fields")))
+R.add("field_preorder", lambda p: C.preorder(T.table(_trees(p), "fields"), 1024).select("packet_id", F.col("position"), "name"))
 
 _MAGICS = ["d4c3b2a1", "a1b2c3d4", "4d3cb2a1", "a1b23c4d", "0a0d0d0a1c0000004d3c2b1a", "0a0d0d0a1c00000000000000", "0a0d0d0a", "7f454c46"]
 
 # selections and fields as plain ranges, so that SQL can say the same
-_SEL = "selections as (select packet_id as selection_id, packet_id, packet_id % 40 as s0, packet_id % 40 + packet_id % 7 as s1 from p where packet_id % 10 = 0)"
-_FLD = "fields as (select packet_id, i as field_id, i % 4 as depth, (i * 5) % 37 as f0, (i * 5) % 37 + (i * i) % 9 as f1 from p, (select unnest(range(0, 24)) as i) where packet_id % 10 = 0)"
+_SEL = "selections as (select packet_id as selection_id, packet_id, packet_id % 40 as s0, packet_id % 40 + packet_id % 7 as s1 from p)"
+_FLD = "fields as (select packet_id, i as field_id, i % 4 as depth, (i * 5) % 37 as f0, (i * 5) % 37 + (i * i) % 9 as f1 from p, (select unnest(range(0, 24)) as i))"
 _HIT = "case when s0 = s1 then f0 = s0 and f1 = f0 else f1 > f0 and f0 < s1 and f1 > s0 end"
 
 
@@ -276,5 +276,6 @@ R.add("validate_packets", lambda p: V.check_packets(p), "select unnest(['packet_
 R.add("validate_fields", lambda p: V.check_fields(T.table(_trees(p), "fields"), _frames(p).select("packet_id", F.length("data").alias("captured_length"))), "select unnest(['field_parent_missing', 'field_before_parent', 'field_outside_parent', 'field_outside_packet']) as \"check\", 0::bigint as violations")
 R.add("format_sniff", lambda p: p.select("packet_id", F.unhex(F.element_at(F.array(*map(F.lit, _MAGICS)), (F.col("packet_id") % len(_MAGICS) + 1).cast("int"))).alias("h")).select("packet_id", S.sniff(F.col("h")).alias("format")), _sql(select=f"select packet_id, [{', '.join(repr(x) for x in ('pcap', 'pcap', 'pcap', 'pcap', 'pcapng', 'malformed', 'need_more_bytes', 'unsupported'))}][packet_id % 8 + 1] as format from p"))
 R.add("filename_hint", lambda p: p.select("packet_id", S.filename_hint(F.concat(F.lit("/a.b/x"), F.element_at(F.array(*map(F.lit, [".pcap", ".PCAPNG", ".txt", ""])), (F.col("packet_id") % 4 + 1).cast("int")))).alias("hint")), _sql(select="select packet_id, ['pcap', 'pcapng', null, null][packet_id % 4 + 1] as hint from p"))
-R.add("checksum", lambda p: T.table(_trees(p.where("family = 4")), "fields").where("name = 'header_checksum_valid'").select("packet_id", F.col("u").alias("valid")), _sql(_WIRE, select="select packet_id, 0::bigint as valid from w where family = 4"))
-R.add("finding_arbitration", lambda p: T.table(_trees(p.where("family = 4 and protocol = 'tcp'")), "diagnostics").groupBy("packet_id").agg(F.count("*").alias("n"), F.max("code").cast("bigint").alias("code")), _sql(_WIRE, select="select packet_id, 1::bigint as n, 12::bigint as code from w where family = 4 and protocol = 'tcp'"))
+
+R.queries |= wire.QUERIES
+R.sql |= wire.SQL

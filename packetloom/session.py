@@ -35,15 +35,20 @@ class Session:
     def packets(self, start: int = 0, rows: int = paging.MAX_ROWS) -> DataFrame:
         return paging.packet_page(self._packets, start, rows)
 
-    def detail(self, packet_id: int) -> DataFrame:
-        return self._trees.where(F.col("packet_id") == packet_id)
+    def _one(self, df: DataFrame, packet_id: int, capture_id: str | None) -> DataFrame:
+        """That packet of one capture, or of each if none is named."""
+        df = df.where(F.col("packet_id") == packet_id)
+        return df if capture_id is None else df.where(F.col("capture_id") == capture_id)
 
-    def correlate(self, packet_id: int, start: int, length: int) -> DataFrame:
+    def detail(self, packet_id: int, capture_id: str | None = None) -> DataFrame:
+        return tree.decode_trees(self._one(self._packets, packet_id, capture_id))
+
+    def correlate(self, packet_id: int, start: int, length: int, capture_id: str | None = None) -> DataFrame:
         one = self.spark.range(1).select(F.lit(0).cast("bigint").alias("selection_id"), F.lit(packet_id).cast("bigint").alias("packet_id"), F.lit(start).cast("bigint").alias("start"), F.lit(length).cast("bigint").alias("length"))
-        return correlate.correlate(one, tree.table(self.detail(packet_id), "fields"))
+        return correlate.correlate(one, tree.table(self.detail(packet_id, capture_id), "fields"))
 
-    def evidence(self, packet_id: int, start: int = 0, most: int = paging.EVIDENCE_BYTES) -> DataFrame:
-        return self._packets.where(F.col("packet_id") == packet_id).select("capture_id", "packet_id", paging.evidence(F.col("data"), F.lit(start), most).alias("bytes"))
+    def evidence(self, packet_id: int, start: int = 0, most: int = paging.EVIDENCE_BYTES, capture_id: str | None = None) -> DataFrame:
+        return self._one(self._packets, packet_id, capture_id).select("capture_id", "packet_id", paging.evidence(F.col("data"), F.lit(start), most).alias("bytes"))
 
     def diagnostics(self) -> DataFrame:
         return pcap.diagnostics(self.records)
