@@ -14,7 +14,7 @@ from packetloom.operators import correlate as C
 from packetloom.operators import flows as X
 from packetloom.operators import paging as G
 from packetloom.operators import validate as V
-from packetloom.plans import wire
+from packetloom.plans import captures, wire
 from packetloom.plans.frames import frames
 from packetloom.plans.trace import events_trace
 from packetloom.sources import pcap as S
@@ -277,5 +277,5 @@ R.add("validate_fields", lambda p: V.check_fields(T.table(_trees(p), "fields"),
 R.add("format_sniff", lambda p: p.select("packet_id", F.unhex(F.element_at(F.array(*map(F.lit, _MAGICS)), (F.col("packet_id") % len(_MAGICS) + 1).cast("int"))).alias("h")).select("packet_id", S.sniff(F.col("h")).alias("format")), _sql(select=f"select packet_id, [{', '.join(repr(x) for x in ('pcap', 'pcap', 'pcap', 'pcap', 'pcapng', 'malformed', 'need_more_bytes', 'unsupported'))}][packet_id % 8 + 1] as format from p"))
 R.add("filename_hint", lambda p: p.select("packet_id", S.filename_hint(F.concat(F.lit("/a.b/x"), F.element_at(F.array(*map(F.lit, [".pcap", ".PCAPNG", ".txt", ""])), (F.col("packet_id") % 4 + 1).cast("int")))).alias("hint")), _sql(select="select packet_id, ['pcap', 'pcapng', null, null][packet_id % 4 + 1] as hint from p"))
 
-R.queries |= wire.QUERIES
-R.sql |= wire.SQL
+R.queries |= wire.QUERIES | captures.QUERIES
+R.sql |= wire.SQL | {name: _sql(*parts, select=select) for name, (parts, select) in captures.SQL_PARTS.items()}

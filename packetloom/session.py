@@ -17,7 +17,7 @@ class Session:
     """Lazy: each answer is a DataFrame, planned when asked for."""
 
     def __init__(self, spark: SparkSession, path: str | list[str], limits: pcap.Limits | None = None, mode: str = "PERMISSIVE"):
-        self.spark, self.records = spark, pcap.read_captures(spark, path, limits, mode)
+        self.spark, self.path, self.records = spark, path, pcap.read_captures(spark, path, limits, mode)
 
     @cached_property
     def _packets(self) -> DataFrame:
@@ -41,7 +41,7 @@ class Session:
         return df if capture_id is None else df.where(F.col("capture_id") == capture_id)
 
     def detail(self, packet_id: int, capture_id: str | None = None) -> DataFrame:
-        return tree.decode_trees(self._one(self._packets, packet_id, capture_id))
+        return paging.packet_detail(tree.decode_trees(self._one(self._packets, packet_id, capture_id)))
 
     def correlate(self, packet_id: int, start: int, length: int, capture_id: str | None = None) -> DataFrame:
         one = self.spark.range(1).select(F.lit(0).cast("bigint").alias("selection_id"), F.lit(packet_id).cast("bigint").alias("packet_id"), F.lit(start).cast("bigint").alias("start"), F.lit(length).cast("bigint").alias("length"))
@@ -50,6 +50,15 @@ class Session:
     def evidence(self, packet_id: int, start: int = 0, most: int = paging.EVIDENCE_BYTES, capture_id: str | None = None) -> DataFrame:
         return self._one(self._packets, packet_id, capture_id).select("capture_id", "packet_id", paging.evidence(F.col("data"), F.lit(start), most).alias("bytes"))
 
+    def capture_evidence(self, offset: int, length: int, capture_id: str | None = None) -> DataFrame:
+        """Bytes at an absolute offset of a capture."""
+        files = self.spark.read.format("binaryFile").load(self.path)
+        files = files if capture_id is None else files.where(F.col("path") == capture_id)
+        return files.select(F.col("path").alias("capture_id"), paging.capture_evidence(F.col("content"), F.lit(offset), length).alias("bytes"))
+
+    def resource_stats(self) -> DataFrame:
+        return pcap.resource_stats(self.records)
+
     def diagnostics(self) -> DataFrame:
         return pcap.diagnostics(self.records)
 

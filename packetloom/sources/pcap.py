@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 # Magics as they stand in the file, block types, diagnostic codes.
 CLASSIC = {"d4c3b2a1": ("<", 6, 16), "a1b2c3d4": (">", 6, 16), "4d3cb2a1": ("<", 9, 16), "a1b23c4d": (">", 9, 16), "34cdb2a1": ("<", 6, 24), "a1b2cd34": (">", 6, 24)}
 NG = "0a0d0d0a"
+ADMITTED_BYTES = 256 << 20
 SHB, IDB, SPB, EPB = 0x0A0D0D0A, 1, 3, 6
 BAD_HEADER, CUT_RECORD, SKIPPED_BLOCK, BAD_TIME, BAD_LENGTH, OVER_LIMIT = 1, 2, 3, 5, 6, 7
 SCHEMA = (
@@ -29,17 +30,35 @@ _TYPES = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "binar
 
 @dataclass(frozen=True)
 class Limits:
-    """Most bytes of a block, options of a block, packets, sections and interfaces of a capture; None: no limit."""
+    """Most bytes of a block, options of a block, packets, sections, interfaces, diagnostics and bytes of names of a capture, and bytes of its file; None: no limit."""
 
     block_bytes: int | None = 16 << 20
     options: int | None = 4096
     packets: int | None = None
     sections: int | None = None
     interfaces: int | None = None
+    diagnostics: int | None = None
+    string_bytes: int | None = None
+    capture_bytes: int | None = (1 << 31) - 1
+
+    def __post_init__(self) -> None:
+        if any(x is not None and x <= 0 for x in vars(self).values()):
+            raise CaptureError("invalid_limits", "limits are positive")
+
+
+def admission(capture_bytes: int) -> Limits:
+    """The limits under which an interactive session takes a capture of that size: packets in proportion to bytes."""
+    if capture_bytes > ADMITTED_BYTES:
+        raise CaptureError("resource_limit", f"a capture of {capture_bytes} bytes")
+    return Limits(4 << 20, 4096, min(131_072, 1024 + capture_bytes // 256), 1024, 16_384, 1024, 256 << 10, ADMITTED_BYTES)
 
 
 class CaptureError(ValueError):
-    """A capture whose first header can't be read, or that goes beyond a limit."""
+    """A capture that can't be read: category is invalid_header, truncated_input, resource_limit or invalid_limits."""
+
+    def __init__(self, category: str, message: str):
+        super().__init__(category, message)
+        self.category = category
 
 
 class _Stop(Exception):
@@ -51,7 +70,8 @@ class Importer:
 
     def __init__(self, capture_id: str, data: bytes, limits: Limits | None = None):
         self.name, self.d, self.limits = capture_id, data, limits or Limits()
-        self.n = {"section": 0, "interface": 0, "packet": 0}
+        self.n = {"section": 0, "interface": 0, "packet": 0, "diagnostic": 0}
+        self.string_bytes = 0
         self.format = "pcapng" if data[:4].hex() == NG else "pcap"
 
     def row(self, kind: str, **values) -> dict:
@@ -60,7 +80,7 @@ class Importer:
             self.n[kind] += 1
             most = getattr(self.limits, f"{kind}s")
             if most is not None and self.n[kind] > most:
-                raise CaptureError(f"more than {most} {kind}s")
+                raise CaptureError("resource_limit", f"more than {most} {kind}s")
         return {"capture_id": self.name, "kind": kind, "format": self.format} | values
 
     def diagnostic(self, code: int, severity: str, recovery: str, offset: int, length: int, packet: int | None = None) -> dict:
@@ -77,11 +97,12 @@ class Importer:
     def classic(self) -> Iterator[dict]:
         d = self.d
         if d[:4].hex() not in CLASSIC or len(d) < 24:
-            raise CaptureError("not a capture" if len(d) >= 4 and d[:4].hex() not in CLASSIC else "the capture ends within its header")
+            known = len(d) >= 4 and d[:4].hex() not in CLASSIC
+            raise CaptureError(*(("invalid_header", "not a capture") if known else ("truncated_input", "the capture ends within its header")))
         order, digits, header = CLASSIC[d[:4].hex()]
         major, minor, _, _, snap, link = struct.unpack(order + "HHiIII", d[4:24])
         if (major, minor) != (2, 4) or snap == 0:
-            raise CaptureError("unsupported version or no snapshot length")
+            raise CaptureError("invalid_header", "unsupported version or no snapshot length")
         resolution = {"res_kind": "decimal", "res_exp": digits}
         yield self.row("section", byte_order="little" if order == "<" else "big", offset=0, length=len(d))
         yield self.row("interface", section_id=0, section_index=0, link_type=link & 0x0FFFFFFF, snap_length=snap, offset=0, length=24, **resolution)
@@ -122,7 +143,7 @@ class Importer:
                 if size < (28 if head else 12) or size % 4:
                     raise _Stop(BAD_HEADER, at)
                 if self.limits.block_bytes is not None and size > self.limits.block_bytes:
-                    raise CaptureError(f"a block of {size} bytes")
+                    raise CaptureError("resource_limit", f"a block of {size} bytes")
                 if at + size > len(d):
                     raise _Stop(CUT_RECORD, at)
                 if struct.unpack(order + "I", d[at + size - 4 : at + size])[0] != size or (end is not None and at + size > end and not head):
@@ -150,7 +171,7 @@ class Importer:
                 raise _Stop(CUT_RECORD, at)
         except _Stop as stop:
             if open_section is None:
-                raise CaptureError("no readable section header") from stop
+                raise CaptureError("truncated_input" if stop.args[0] == CUT_RECORD else "invalid_header", "no readable section header") from stop
             yield open_section | {"length": stop.args[1] - open_section["offset"]}
             open_section = None
             raise
@@ -167,7 +188,7 @@ class Importer:
             code, size = struct.unpack(order + "HH", self.d[at : at + 4])
             count += 1
             if self.limits.options is not None and count > self.limits.options:
-                raise CaptureError(f"more than {self.limits.options} options in a block")
+                raise CaptureError("resource_limit", f"more than {self.limits.options} options in a block")
             if at + 4 + size > end:
                 raise _Stop(BAD_HEADER, at)
             if code == 0:
@@ -190,6 +211,9 @@ class Importer:
             warn |= len(raw) != 8
             if len(raw) == 8:
                 shift = struct.unpack(order + "q", raw)[0]
+        self.string_bytes += len(given.get(2, b""))
+        if self.limits.string_bytes is not None and self.string_bytes > self.limits.string_bytes:
+            raise CaptureError("resource_limit", f"more than {self.limits.string_bytes} bytes of names")
         row = self.row("interface", section_id=section, section_index=index, link_type=link, snap_length=snap, offset=at, length=size, res_kind=kind, res_exp=exponent, name=given[2].decode("utf-8", "replace") if 2 in given else None)
         row["_shift"] = shift
         return [row, *([self.diagnostic(BAD_TIME, "warning", "continued", at, size)] if warn else [])]
@@ -245,10 +269,11 @@ def _parsed(limits: Limits, permissive: bool):
                         if len(rows) >= 4096:
                             yield _batch(rows)
                             rows = []
-                except CaptureError:
+                except CaptureError as e:
                     if not permissive:
                         raise
-                    rows.append(importer.diagnostic(BAD_HEADER, "fatal", "capture_rejected", 0, len(importer.d)))
+                    code = OVER_LIMIT if e.category == "resource_limit" else CUT_RECORD if e.category == "truncated_input" else BAD_HEADER
+                    rows.append({"capture_id": path, "kind": "diagnostic", "format": importer.format, "code": code, "severity": "fatal", "recovery": "capture_rejected", "offset": 0, "length": len(importer.d)})
                 yield _batch(rows)
 
     return parse
@@ -276,6 +301,20 @@ def stream_captures(spark: SparkSession, path: str, limits: Limits | None = None
 
 
 def _records(files: DataFrame, limits: Limits | None, mode: str) -> DataFrame:
+    """A file over the limit of bytes is never read: its length alone is known."""
+    limits = limits or Limits()
+    if limits.capture_bytes is None:
+        return parse_captures(files, limits, mode)
+    known = {"capture_id": F.col("path"), "kind": F.lit("diagnostic"), "code": F.lit(OVER_LIMIT), "severity": F.lit("fatal"), "recovery": F.lit("capture_rejected"), "offset": F.lit(0), "length": F.col("length")}
+    refused = [known.get(c, F.lit(None)).cast(k).alias(c) for c, k in (x.split() for x in SCHEMA.split(", "))]
+    large = files.where(F.col("length") > limits.capture_bytes)
+    if mode.upper() != "PERMISSIVE":
+        large = large.where(F.raise_error(F.lit("resource_limit: a capture over the limit of bytes")).cast("boolean"))
+    return parse_captures(files.where(F.col("length") <= limits.capture_bytes), limits, mode).unionByName(large.select(*refused))
+
+
+def parse_captures(files: DataFrame, limits: Limits | None = None, mode: str = "PERMISSIVE") -> DataFrame:
+    """The records of captures that come as rows of path and content, from any source."""
     return files.select("path", "content").mapInArrow(_parsed(limits or Limits(), mode.upper() == "PERMISSIVE"), SCHEMA)
 
 
@@ -301,6 +340,12 @@ def import_summary(records: DataFrame) -> DataFrame:
     return records.groupBy("capture_id").agg(F.max("format").alias("format"), of("section").alias("sections"), of("interface").alias("interfaces"), of("packet").alias("packets"), of("diagnostic").alias("diagnostics"), F.count_if(F.col("severity") == "warning").alias("warnings"))
 
 
+def resource_stats(records: DataFrame) -> DataFrame:
+    """What each capture holds: packets and their bytes, bytes of its sections, bytes of interface names."""
+    of = lambda kind, value: F.coalesce(F.sum(F.when(F.col("kind") == kind, value)), F.lit(0))
+    return records.groupBy("capture_id").agg(of("packet", F.lit(1)).alias("packets"), of("packet", F.col("length")).alias("packet_bytes"), of("section", F.col("length")).alias("capture_bytes"), of("interface", F.octet_length("name")).alias("string_bytes"))
+
+
 def sniff(header: Column) -> Column:
     """pcap, pcapng, malformed, need_more_bytes or unsupported, of a file's first bytes (12 are enough)."""
     start = F.lower(F.hex(F.substring(header, 1, 4)))
@@ -309,6 +354,11 @@ def sniff(header: Column) -> Column:
     return F.when(F.length(header) < 4, "need_more_bytes").when(start.isin(*known), "pcap").when((start == NG) & (F.length(header) < 12), "need_more_bytes").when((start == NG) & order.isin("4d3c2b1a", "1a2b3c4d"), "pcapng").when(start == NG, "malformed").otherwise("unsupported")
 
 
+def hint_warning(path: Column, detected: Column) -> Column:
+    """Whether a file's extension suggests another format than its bytes: a warning, the bytes decide."""
+    return F.coalesce(filename_hint(path) != detected, F.lit(False))
+
+
 def filename_hint(path: Column) -> Column:
     """The format that a file's extension suggests, or null."""
     ext = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))

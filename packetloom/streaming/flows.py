@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from packetloom.operators.flows import KEY, _totals, flow_packets
 
 
-def streaming_flows(packets: DataFrame, watermark: str = "1 hour", window: str | None = None) -> DataFrame:
-    """bidirectional_flows of a stream, by event-time window if given; state is dropped behind the watermark.
+def streaming_flows(packets: DataFrame, watermark: str = "1 hour", window: str | None = "1 day") -> DataFrame:
+    """bidirectional_flows of a stream by windows of event time, whose state is dropped behind the watermark.
+
+    Without a window a flow is never over: its state stays for as long as the query runs.
 
     Event time is the packet's own; packets without time can't be placed and are left out here, unlike
     in batch.
