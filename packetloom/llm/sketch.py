@@ -19,8 +19,29 @@ DIGITS = 12
 SHINGLE = 5
 
 
+def _digest(text: Column) -> Column:
+    return F.substring(F.md5(F.coalesce(text, F.lit(""))), 1, DIGITS)
+
+
 def sketch(text: Column, below: str = BELOW, size: int = SHINGLE) -> Column:
     """The fingerprint of a text column: the text's digest, "|", and the hashes kept, ascending, by commas. A null text is empty."""
+    return F.concat(_digest(text), F.lit("|"), F.array_join(_hashes(text, below, size), ","))
+
+
+def packed(text: Column) -> Column:
+    """The same in bytes, half a byte for a digit: what a shuffle carries."""
+    return F.unhex(F.concat(_digest(text), F.array_join(_hashes(text, BELOW, SHINGLE), "")))
+
+
+def unpacked(fingerprint: Column) -> Column:
+    """The fingerprint of packed()."""
+    digits = F.lower(F.hex(fingerprint))
+    hashes = F.regexp_replace(F.substring(digits, F.lit(DIGITS + 1), F.length(digits)), f"(.{{{DIGITS}}})(?=.)", "$1,")
+    return F.concat(F.substring(digits, 1, DIGITS), F.lit("|"), hashes)
+
+
+def _hashes(text: Column, below: str, size: int) -> Column:
+    """The hashes that a text keeps, ascending."""
     whole = F.coalesce(text, F.lit(""))
     split = F.filter(F.split(whole, r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
@@ -30,8 +51,7 @@ def sketch(text: Column, below: str = BELOW, size: int = SHINGLE) -> Column:
         return F.when(F.size(words) == 0, F.array().cast("array<string>")).otherwise(F.sort_array(F.array_distinct(F.filter(each, lambda h: h < below))))
 
     # transform() over one element binds the words, so that they are split once
-    hashes = F.transform(F.array(split), kept)[0]
-    return F.concat(F.substring(F.md5(whole), 1, DIGITS), F.lit("|"), F.array_join(hashes, ","))
+    return F.transform(F.array(split), kept)[0]
 
 
 def hashes_of(fingerprint: Column) -> Column:
@@ -83,10 +103,10 @@ def fingerprint_documents(df: DataFrame, text: str = "text", key: str = "doc_id"
     order = successors(order, "at", "n")
     order = order.select("at", F.col("_prev")["at"].alias("prev"), F.floor(F.col("_prev")["n"] / 4).cast("int").alias("want"))
     # texts and their sketches are dealt once: both branches below read all columns of that exchange
-    own = base.select(F.struct("k", "h").alias("at"), "k", "t", sketch(F.col("t")).alias("fp"))
+    own = base.select(F.struct("k", "h").alias("at"), "k", "t", packed(F.col("t")).alias("fp"))
     handed = own.join(order, "at").select(F.col("prev").alias("at"), "k", F.expr("substring(t, 1, want)").alias("head"), F.col("fp").alias("next_fp"))
     handed = handed.groupBy("at").agg(F.max_by(F.struct("head", "next_fp"), F.struct("k")).alias("_n"))
     n = F.length("t")
     joined = own.join(handed, "at").withColumn("edited", F.concat(F.expr("substring(t, 1, length(t) - cast(floor(length(t) / 4) as int))"), F.col("_n.head")))
-    out = joined.select(F.col("k").alias(key), n.cast("long").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), F.col("fp").alias("fingerprint"), sketch(F.col("edited")).alias("edited_fingerprint"), F.col("_n.next_fp").alias("next_fp"))
+    out = joined.select(F.col("k").alias(key), n.cast("long").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), unpacked(F.col("fp")).alias("fingerprint"), sketch(F.col("edited")).alias("edited_fingerprint"), unpacked(F.col("_n.next_fp")).alias("next_fp"))
     return out.withColumns({"near_edited": likeness(F.col("fingerprint"), F.col("edited_fingerprint")), "near_next": likeness(F.col("fingerprint"), F.col("next_fp"))}).drop("next_fp")
