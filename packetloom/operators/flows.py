@@ -87,21 +87,22 @@ def flow_ids(flows: DataFrame, name: str = "flow_id") -> DataFrame:
 
 
 def with_tcp_evidence(fp: DataFrame) -> DataFrame:
-    """TCP packets with, on every row, the flow's handshake stages, and on its own row what it repeats.
+    """Packets with, on every row, the flow's handshake stages, and on its own row what it repeats.
 
     first_syn, syn_ack, established: ids of the first SYN, of the first SYN-ACK against it after, of the
     first ACK in its direction after that. prev_seq, prev_ack: the last value in the same direction
-    before, with its packet; a value in an unknown direction has none.
+    before, with its packet; a value in an unknown direction has none. fin_rank numbers a flow's FINs.
     """
     flow = Window.partitionBy(*KEY)
     before = Window.partitionBy(*KEY, "direction").orderBy("packet_id").rowsBetween(Window.unboundedPreceding, -1)
     pid, known = F.col("packet_id"), F.col("direction") != "unknown"
-    t = fp.where("protocol = 'tcp'").withColumn("first_syn", F.min(F.when(F.col("syn") & ~F.col("ack"), pid)).over(flow))
+    t = fp.withColumn("first_syn", F.min(F.when(F.col("syn") & ~F.col("ack"), pid)).over(flow))
     t = t.withColumn("syn_direction", F.max(F.when(pid == F.col("first_syn"), F.col("direction"))).over(flow))
     t = t.withColumn("syn_ack", F.min(F.when(F.col("syn") & F.col("ack") & (pid > F.col("first_syn")) & (F.col("direction") != F.col("syn_direction")), pid)).over(flow))
     t = t.withColumn("established", F.min(F.when(F.col("ack") & (pid > F.col("syn_ack")) & (F.col("direction") == F.col("syn_direction")), pid)).over(flow))
     last = lambda c: F.when(known, F.last(F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("v"), pid.alias("id"))), ignorenulls=True).over(before))
-    return t.withColumns({"prev_seq": last("seq"), "prev_ack": last("ack_no")})
+    fins = Window.partitionBy(*KEY).orderBy("packet_id").rowsBetween(Window.unboundedPreceding, 0)
+    return t.withColumns({"prev_seq": last("seq"), "prev_ack": last("ack_no"), "fin_rank": F.when(F.col("fin"), F.count(F.when(F.col("fin"), 1)).over(fins))})
 
 
 def _tcp_columns() -> list[Column]:
@@ -124,10 +125,10 @@ def _tcp_columns() -> list[Column]:
 
 def tcp_flows(packets: DataFrame) -> DataFrame:
     """A row for each TCP flow: totals, evidence, establishment, termination, indicators and partial_capture."""
-    t = with_tcp_evidence(flow_packets(packets))
-    fins = Window.partitionBy(*KEY).orderBy("packet_id").rowsBetween(Window.unboundedPreceding, 0)
-    t = t.withColumn("fin_rank", F.when(F.col("fin"), F.count(F.when(F.col("fin"), 1)).over(fins)))
-    f = t.groupBy(*KEY).agg(*_totals(), *_tcp_columns())
+    return _with_states(with_tcp_evidence(flow_packets(packets).where("protocol = 'tcp'")).groupBy(*KEY).agg(*_totals(), *_tcp_columns()))
+
+
+def _with_states(f: DataFrame) -> DataFrame:
     syn, none = F.col("first_syn"), F.lit("not_observed")
     state = F.when(F.col("established").isNotNull(), "established").when(syn.isNotNull() & F.col("reset").isNotNull(), "failed_reset").when(F.col("repeated_syn").isNotNull(), "failed_repeated_syn").when(syn.isNotNull(), "in_progress").otherwise(none)
     f = f.withColumns({
@@ -140,13 +141,23 @@ def tcp_flows(packets: DataFrame) -> DataFrame:
     return f.withColumn("partial_capture", F.col("one_sided") | (F.col("establishment") != "established") | (F.col("termination") == none))
 
 
+def _limits() -> Column:
+    return F.array_compact(F.array(F.when(F.col("one_sided"), F.lit("one_sided_view")), F.when(F.col("truncation_seen"), F.lit("capture_truncated")))).alias("limits")
+
+
 def dns_epochs(packets: DataFrame, timed: bool) -> DataFrame:
     """A row for each flow, transaction and epoch: the queries before a response, and the response if there is one.
 
     An epoch ends with a response. Queries that ask nothing don't count. timed: packets without time
-    are left out, as for latencies; anomalies count them.
+    are left out, as for latencies; anomalies count them. one_sided, truncation_seen: of the whole flow.
     """
-    d = flow_packets(packets).where("dns_txid is not null")
+    flow, from_b = Window.partitionBy(*KEY), F.col("direction") == "b_to_a"
+    d = flow_packets(packets)
+    if not timed:
+        d = d.withColumns({"one_sided": F.bool_and(from_b).over(flow) | F.bool_and(~from_b).over(flow), "truncation_seen": F.bool_or("truncated").over(flow)})
+    else:
+        d = d.withColumns({"one_sided": F.lit(None).cast("boolean"), "truncation_seen": F.lit(None).cast("boolean")})
+    d = d.where("dns_txid is not null")
     d = d.where("t is not null") if timed else d
     response = F.coalesce(F.col("dns_is_response"), F.lit(False))
     earlier = Window.partitionBy(*KEY, "dns_txid").orderBy("packet_id").rowsBetween(Window.unboundedPreceding, -1)
@@ -155,7 +166,7 @@ def dns_epochs(packets: DataFrame, timed: bool) -> DataFrame:
     row = F.struct(F.col("packet_id").alias("id"), F.col("t").alias("t"))
     return d.groupBy(*KEY, "dns_txid", "epoch").agg(
         F.min(F.when(asks, row)).alias("first_query"), F.max(F.when(asks, row)).alias("last_query"),
-        _resolution(), F.min(F.when(response, row)).alias("response"), F.coalesce(F.max(F.when(response, F.col("dns_rcode"))), F.lit(0)).alias("rcode"),
+        _resolution(), F.bool_or("one_sided").alias("one_sided"), F.bool_or("truncation_seen").alias("truncation_seen"), F.min(F.when(response, row)).alias("response"), F.coalesce(F.max(F.when(response, F.col("dns_rcode"))), F.lit(0)).alias("rcode"),
     )
 
 
@@ -164,17 +175,31 @@ def dns_latency(packets: DataFrame, exact: bool = False) -> DataFrame:
     return dns_epochs(packets, timed=True).withColumn("ticks", duration(F.col("first_query")["t"], F.col("response")["t"], F.col("ticks_per_second"), exact)).groupBy(*KEY).agg(F.min("ticks").alias("dns_response_ticks")).where("dns_response_ticks is not null")
 
 
+def _with_dns_ticks(fp: DataFrame, exact: bool) -> DataFrame:
+    """fp with dns_ticks: on a response, the ticks since the first query of its transaction that waits for it."""
+    timed = F.col("dns_txid").isNotNull() & F.col("t").isNotNull()
+    response = timed & F.coalesce(F.col("dns_is_response"), F.lit(False))
+    asks = timed & ~response & F.coalesce(F.col("dns_qdcount") > 0, F.lit(True))
+    earlier = Window.partitionBy(*KEY, "dns_txid").orderBy("packet_id").rowsBetween(Window.unboundedPreceding, -1)
+    fp = fp.withColumn("_epoch", F.coalesce(F.sum(response.cast("long")).over(earlier), F.lit(0)))
+    query = F.min(F.when(asks, F.struct("packet_id", "t", "tps"))).over(Window.partitionBy(*KEY, "dns_txid", "_epoch"))
+    fp = fp.withColumn("_query", query)
+    return fp.withColumn("dns_ticks", F.when(response & (F.col("_query")["tps"] == F.col("tps")), duration(F.col("_query")["t"], F.col("t"), F.col("tps"), exact))).drop("_epoch", "_query")
+
+
 def flow_metrics(packets: DataFrame, exact: bool = False) -> DataFrame:
     """A row for each flow: totals, duration, sizes, latencies, partial_capture. UDP flows are always partial.
 
+    One scan and one exchange by flow: evidence and DNS epochs are windows over it, all else one aggregate.
+
     Durations are in ticks of the flow's own resolution, ticks_per_second; null where its packets' differ.
     """
-    base = flow_packets(packets).groupBy(*KEY).agg(*_totals(), *size_columns())
-    tcp = tcp_flows(packets).select(*KEY, F.nullif(duration(F.col("syn_t"), F.col("established_t"), F.col("ticks_per_second"), exact), F.lit(0)).alias("handshake_ticks"), F.nullif(duration(F.col("established_t"), F.col("data_t"), F.col("ticks_per_second"), exact), F.lit(0)).alias("first_data_ticks"), "partial_capture")
-    out = base.join(tcp, KEY, "left").join(dns_latency(packets, exact), KEY, "left")
+    fp = with_tcp_evidence(_with_dns_ticks(flow_packets(packets), exact))
+    out = _with_states(fp.groupBy(*KEY).agg(*_totals(), *size_columns(), *_tcp_columns(), F.min("dns_ticks").alias("dns_response_ticks")))
+    between = lambda a, b: F.nullif(duration(F.col(a), F.col(b), F.col("ticks_per_second"), exact), F.lit(0))
     return out.withColumns({
+        "handshake_ticks": between("syn_t", "established_t"), "first_data_ticks": between("established_t", "data_t"),
         "duration_ticks": duration(F.col("first_t"), F.col("last_t"), F.col("ticks_per_second"), exact),
-        "partial_capture": F.coalesce("partial_capture", F.lit(True)),
         "packets_total": F.col("packets_a_to_b") + F.col("packets_b_to_a"), "bytes_total": F.col("bytes_a_to_b") + F.col("bytes_b_to_a"),
     })
 
@@ -193,18 +218,19 @@ def anomalies(packets: DataFrame, exact: bool = False) -> DataFrame:
         (1, F.col("repeated_syn").isNotNull(), "certain", first, F.col("repeated_syn")),
         (2, F.col("reset").isNotNull() & first.isNotNull(), "certain", first, F.col("reset")),
         (5, F.greatest("retransmissions_a", "retransmissions_b") >= RETRANSMISSIONS, "inferred", F.col("retransmission")["first"], F.col("retransmission")["second"]),
+        (7, F.col("one_sided"), "inferred", F.col("first_packet"), no),
         (6, handshake > F.try_multiply(F.col("ticks_per_second"), F.lit(LONG_HANDSHAKE_SECONDS)), "inferred", first, F.col("established")),
     ]
     found = F.filter(F.array(*[F.when(c, F.struct(F.lit(k).alias("kind_order"), F.lit(conf).alias("base"), a.alias("first"), b.alias("second"))) for k, c, conf, a, b in cases]), lambda x: x.isNotNull())
-    from_tcp = tcp.select(*KEY, F.explode(found).alias("x")).select(*KEY, "x.*")
-    dns = dns_epochs(packets, timed=False)
-    error = dns.where("response is not null and rcode <> 0").select(*KEY, F.lit(3).alias("kind_order"), F.lit("certain").alias("base"), F.coalesce(F.col("last_query")["id"], F.col("response")["id"]).alias("first"), F.when(F.col("last_query").isNotNull(), F.col("response")["id"]).alias("second"))
-    waiting = dns.where("response is null and last_query is not null").select(*KEY, F.lit(4).alias("kind_order"), F.lit("inferred").alias("base"), F.col("last_query")["id"].alias("first"), no.alias("second"))
-    flows = bidirectional_flows(packets).withColumn("one_sided", (F.col("packets_a_to_b") == 0) | (F.col("packets_b_to_a") == 0))
-    sided = flows.where("one_sided").select(*KEY, F.lit(7).alias("kind_order"), F.lit("inferred").alias("base"), F.col("first_packet").alias("first"), no.alias("second"))
+    from_tcp = tcp.select(*KEY, _limits(), F.explode(found).alias("x")).select(*KEY, "limits", "x.*")
+    dns = dns_epochs(packets, timed=False).withColumn("limits", _limits())
+    error = dns.where("response is not null and rcode <> 0").select(*KEY, "limits", F.lit(3).alias("kind_order"), F.lit("certain").alias("base"), F.coalesce(F.col("last_query")["id"], F.col("response")["id"]).alias("first"), F.when(F.col("last_query").isNotNull(), F.col("response")["id"]).alias("second"))
+    waiting = dns.where("response is null and last_query is not null").select(*KEY, "limits", F.lit(4).alias("kind_order"), F.lit("inferred").alias("base"), F.col("last_query")["id"].alias("first"), no.alias("second"))
+    # TCP flows seen from one side are among from_tcp
+    flows = bidirectional_flows(packets.where("protocol = 'udp'")).withColumn("one_sided", (F.col("packets_a_to_b") == 0) | (F.col("packets_b_to_a") == 0))
+    sided = flows.where("one_sided").select(*KEY, _limits(), F.lit(7).alias("kind_order"), F.lit("inferred").alias("base"), F.col("first_packet").alias("first"), no.alias("second"))
     every = from_tcp.unionByName(error).unionByName(waiting).unionByName(sided)
-    limits = flows.select(*KEY, F.array_compact(F.array(F.when(F.col("one_sided"), F.lit("one_sided_view")), F.when(F.col("truncation_seen"), F.lit("capture_truncated")))).alias("limits"))
-    return every.join(limits, KEY).select(
+    return every.select(
         *KEY, "kind_order", F.element_at(F.array(*map(F.lit, ANOMALIES)), F.col("kind_order") + 1).alias("kind"),
         F.when(F.size("limits") > 0, F.lit("inferred")).otherwise(F.col("base")).alias("confidence"), F.array_join("limits", ",").alias("limitations"), "first", "second",
     )

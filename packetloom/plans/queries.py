@@ -207,6 +207,11 @@ def _frames(p: DataFrame) -> DataFrame:
     return frames(p)
 
 
+def _spread(p: DataFrame) -> DataFrame:
+    """Frames for decoders in Python."""
+    return frames(T.spread(p))
+
+
 _WIRE = """
 w as (select *, packet_id % 11 = 0 as tagged, case when family = 4 then 2048 else 34525 end as ether, case when family = 4 then 20 else 40 end as net,
   case when packet_id % 11 = 0 then 18 else 14 end as n from p)"""
@@ -237,11 +242,11 @@ _add("ipv6_decode", ["version", "traffic_class", "flow_label", "payload_length",
 _add("tcp_decode", ["source_port", "destination_port", "sequence_number", "acknowledgment_number", "header_length", "syn", "ack", "fin", "rst", "window"], lambda f: D.tcp(F.col("data"), _transport(f)), "is_tcp", "src_port::bigint as source_port, dst_port::bigint as destination_port, coalesce(seq, 0)::bigint as sequence_number, coalesce(ack_no, 0)::bigint as acknowledgment_number, 20::bigint as header_length, syn::bigint as syn, ack::bigint as ack, fin::bigint as fin, rst::bigint as rst, 8192::bigint as window", "protocol = 'tcp'")
 _add("udp_decode", ["source_port", "destination_port", "length", "checksum"], lambda f: D.udp(F.col("data"), _transport(f)), "not is_tcp", "src_port::bigint as source_port, dst_port::bigint as destination_port, 20::bigint as length, 0::bigint as checksum", "protocol = 'udp'")
 _add("dns_header", ["transaction_id", "is_response", "response_code", "question_count", "answer_count"], lambda f: D.dns_header(F.col("data"), _transport(f) + 8), "not is_tcp and (src_port = 53 or dst_port = 53)", "txid::bigint as transaction_id, is_response::bigint as is_response, case when is_response then rcode else 0 end::bigint as response_code, qd::bigint as question_count, case when is_response then 1 else 0 end::bigint as answer_count", "protocol = 'udp' and (src_port = 53 or dst_port = 53)")
-R.add("decoded_flows", lambda p: ends(X.bidirectional_flows(D.flat_packets(_frames(p).select("capture_id", "packet_id", "interface_id", "seconds", "fraction", "captured_length", "diag_codes", "data")))).select(*_KEYS, "packets_total", "bytes_total"), _sql(_FLOWS, select=f"select {_K}, packets_total, bytes_total from flows"))
+R.add("decoded_flows", lambda p: ends(X.bidirectional_flows(D.flat_packets(_spread(p).select("capture_id", "packet_id", "interface_id", "seconds", "fraction", "captured_length", "diag_codes", "data")))).select(*_KEYS, "packets_total", "bytes_total"), _sql(_FLOWS, select=f"select {_K}, packets_total, bytes_total from flows"))
 
 
 def _trees(p: DataFrame) -> DataFrame:
-    return T.decode_trees(_frames(p))
+    return T.decode_trees(_spread(p))
 
 
 R.add("layer_tree", lambda p: T.table(_trees(p), "layers").select("packet_id", "layer_index", "protocol", "start", "length").where("protocol <> 'dns'").select("packet_id", F.col("layer_index").cast("bigint").alias("layer_index"), "protocol", F.col("start").cast("bigint").alias("start"), F.col("length").cast("bigint").alias("length")), _sql(_WIRE, select="select packet_id, l.layer_index::bigint as layer_index, l.protocol as protocol, l.start::bigint as start, l.length::bigint as length from (select packet_id, unnest(list_filter([{'layer_index': 0, 'protocol': 'ethernet', 'start': 0, 'length': 14}, case when tagged then {'layer_index': 1, 'protocol': 'vlan', 'start': 12, 'length': 6} end, {'layer_index': 1 + tagged::int, 'protocol': case when family = 4 then 'ipv4' else 'ipv6' end, 'start': n, 'length': net}, {'layer_index': 2 + tagged::int, 'protocol': protocol, 'start': n + net, 'length': case when protocol = 'tcp' then 20 else 8 end}], lambda x: x is not null)) as l from w)"))

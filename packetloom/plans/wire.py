@@ -121,7 +121,7 @@ def wire_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     case = F.lit(None).cast("string")
     for k, body in enumerate(made):
         case = F.when(_id() % 10 == k, body).otherwise(case)
-    e = e.withColumn("data", F.unhex(F.concat(F.lit(MACS), case)))
+    e = T.spread(e).withColumn("data", F.unhex(F.concat(F.lit(MACS), case)))
     return e.withColumns({"interface_id": F.lit(0).cast("bigint"), "seconds": _id(), "fraction": F.lit(0).cast("bigint"), "captured_length": F.length("data").cast("bigint"), "diag_codes": F.array().cast("array<int>")}).drop("j")
 
 
