@@ -575,15 +575,6 @@ _A_LAYER = pa.struct([("layer_index", pa.int32()), ("protocol", pa.string()), ("
 _A_DIAGNOSTIC = pa.struct([("code", pa.int32()), ("severity", pa.string()), ("start", pa.int32()), ("length", pa.int32())])
 
 
-def spread(packets: DataFrame) -> DataFrame:
-    """packets over as many tasks as there are cores, or more: decoding is dear, and a small file is one task's.
-
-    Only for what is read without a shuffle, whose number of tasks is known beforehand.
-    """
-    n = packets.sparkSession.sparkContext.defaultParallelism
-    return packets if packets.rdd.getNumPartitions() >= n else packets.repartition(n, "packet_id")
-
-
 def decode_trees(packets: DataFrame, decoder: Callable[[], object] = EthernetDecoder, strict: bool = False) -> DataFrame:
     """capture_id, packet_id, layers, fields, diagnostics: the tree of each packet (column data), narrow work.
 

@@ -32,6 +32,13 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capture_files(p)
 
 
+def capture_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The captures, cached: for measuring what reads them."""
+    files = _files(spark, sf_dir).cache()
+    files.count()
+    return files
+
+
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.parse_captures(_files(spark, sf_dir))
 

@@ -13,9 +13,18 @@ PACKET_COLUMNS = (
 )
 
 
+def spread(events: DataFrame) -> DataFrame:
+    """events over as many tasks as there are cores, or more: a small file is one task's, and what follows is dear.
+
+    Only for a scan, whose number of tasks is known without running anything.
+    """
+    n = events.sparkSession.sparkContext.defaultParallelism
+    return events if events.rdd.getNumPartitions() >= n else events.repartition(n, "event_id")
+
+
 def events_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Packets, flat: see PACKET_COLUMNS. Narrow work on one scan; no shuffle."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(
+    """Packets, flat: see PACKET_COLUMNS. Narrow work on one scan; no shuffle but where the scan has fewer tasks than there are cores."""
+    e = spread(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type", "value", "ts", "props")).select(
         "event_id", "user_id", "event_type", "value",
         F.unix_micros(F.col("ts").cast("timestamp")).alias("us0"),
         F.regexp_extract("props", r"(\d+)", 1).cast("int").alias("k"),

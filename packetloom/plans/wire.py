@@ -14,6 +14,7 @@ from packetloom.functions import decode as D
 from packetloom.functions import tree as T
 from packetloom.operators import flows as X
 from packetloom.plans.frames import _hex
+from packetloom.plans.trace import spread
 
 MACS = "020000000001020000000002"
 #: Addresses of the two hosts, as 16-bit words.
@@ -117,11 +118,11 @@ def _long_chain() -> Column:
 def wire_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """capture_id, packet_id, data and the columns of a packet, of each event."""
     made = [_arp(), _icmp_behind_options(), _tcp_behind_extensions(), _udp_fragment(), _dns_response(), _icmpv6_echo(), F.lit("88a800010800"), F.lit("080045000014000000004001"), _tcp_over_broken_ipv4(), _long_chain()]
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.lit("wire").alias("capture_id"), F.col("event_id").cast("bigint").alias("packet_id"), F.floor(F.col("event_id") / 10).cast("bigint").alias("j"))
+    e = spread(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id")).select(F.lit("wire").alias("capture_id"), F.col("event_id").cast("bigint").alias("packet_id"), F.floor(F.col("event_id") / 10).cast("bigint").alias("j"))
     case = F.lit(None).cast("string")
     for k, body in enumerate(made):
         case = F.when(_id() % 10 == k, body).otherwise(case)
-    e = T.spread(e).withColumn("data", F.unhex(F.concat(F.lit(MACS), case)))
+    e = e.withColumn("data", F.unhex(F.concat(F.lit(MACS), case)))
     return e.withColumns({"interface_id": F.lit(0).cast("bigint"), "seconds": _id(), "fraction": F.lit(0).cast("bigint"), "captured_length": F.length("data").cast("bigint"), "diag_codes": F.array().cast("array<int>")}).drop("j")
 
 
