@@ -147,8 +147,8 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     per_lang = max(1, min(per_lang, most_rows // max(1, n)))
     sizes = F.broadcast(sizes) if n <= most_rows else sizes
     # a language may have a third of all rows: few of them are ranked, all others go before the shuffle
-    drawn = known.join(sizes, "_lang").where(F.shiftrightunsigned(F.xxhash64("_key"), 11) * F.lit(2.0**-53) * F.col("_n") <= 4 * per_lang)
-    rank = F.row_number().over(Window.partitionBy("_lang").orderBy(F.shiftrightunsigned(F.xxhash64("_key"), 11), "_key"))
+    drawn = known.join(sizes, "_lang").where((F.xxhash64("_key") * F.lit(2.0**-64) + 0.5) * F.col("_n") <= 4 * per_lang)
+    rank = F.row_number().over(Window.partitionBy("_lang").orderBy(F.xxhash64("_key"), "_key"))
     chosen = drawn.withColumn("_rank", rank).where(F.col("_rank") <= per_lang).select("_key").distinct()
     rows = df.where(F.col(lang).isNotNull()).select(F.col(key).alias("_key"), F.col(lang).alias("_lang"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_key", "left_semi")
 

@@ -222,9 +222,9 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     hash. A key labelled more than once is toxic if one label says so.
     """
     marks = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max(F.col(label)).cast("int").alias("_y"))
-    hashed_key = F.shiftrightunsigned(F.xxhash64("_key"), 11)
+    hashed_key = F.xxhash64("_key")
     # a class is ranked from what its rows of least hashes are, all others go before the shuffle
-    drawn = marks.join(F.broadcast(marks.groupBy("_y").agg(F.count("*").alias("_n"))), "_y").where(hashed_key * F.lit(2.0**-53) * F.col("_n") <= 8 * per_class).select("_key", "_y")
+    drawn = marks.join(F.broadcast(marks.groupBy("_y").agg(F.count("*").alias("_n"))), "_y").where((hashed_key * F.lit(2.0**-64) + 0.5) * F.col("_n") <= 8 * per_class).select("_key", "_y")
     sizes = docs.where(F.length(text) <= max_chars).select(F.col(key).alias("_key"), F.length(text).alias("_size")).join(F.broadcast(drawn), "_key").groupBy("_key", "_y").agg(F.sum("_size").alias("_size"))
     order = Window.partitionBy("_y").orderBy(hashed_key, "_key").rowsBetween(Window.unboundedPreceding, 0)
     chosen = sizes.withColumns({"_rank": F.count("*").over(order), "_size": F.sum("_size").over(order)}).where((F.col("_rank") <= per_class) & (F.col("_size") <= all_chars)).select("_key", "_y")
