@@ -133,6 +133,21 @@ def render(role: str, text: str | None) -> str:
     return f"<|{role}|>\n" + "\n".join(line.rstrip() for line in lines).strip("\n") + "\n<|end|>\n"
 
 
+def _turns(ordered: pa.Table, states: list[int], counts: list[int]) -> pa.Table:
+    """The rendered turns of rows (conv, turn, text): states for each line, counts of the lines of each row."""
+    out: tuple[list, ...] = ([], [], [], [])
+    place = 0
+    for i, (t, n) in enumerate(zip(ordered.column("text").to_pylist(), counts, strict=True)):
+        lines, own = (t or "").split("\n"), states[place : place + n]
+        place += n
+        cuts = [0, *(k for k in range(1, n) if own[k] != own[k - 1]), n]
+        for part, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            for column, x in zip(out, (i, part, ROLES[own[a]], render(ROLES[own[a]], "\n".join(lines[a:b]))), strict=True):
+                column.append(x)
+    took = pa.array(out[0], pa.int64())
+    return pa.table({"conv": ordered.column("conv").take(took), "turn": ordered.column("turn").take(took), "part": pa.array(out[1], pa.int32()), "role_pred": pa.array(out[2], pa.string()), "rendered": pa.array(out[3], pa.string())})
+
+
 def format_chats(df: DataFrame, model: Model | None = None, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", segment: int = SEGMENT) -> DataFrame:
     """conv, turn, part, role_pred, rendered: the turns of each conversation, its roles recovered from its text.
 
@@ -140,12 +155,15 @@ def format_chats(df: DataFrame, model: Model | None = None, conv: str = "conv_id
     0. The role column trains the model, if none is given, and never decides a row's own role. Rows are
     read by ascending turn, those of one turn by text; segments hold the turns from a multiple of
     segment to the next. Null, empty and very long texts are rows like any other (an empty turn is
-    rendered too), repeated rows stay, rows with a null conv are one conversation, a null turn comes
-    first. Other columns are not read.
+    rendered too), repeated rows stay. A row with a null conv or a null turn has no place in a
+    conversation: it is decoded by itself, as one that opens a conversation, and moves no other row.
+    Rows of one conversation and one turn are one segment. Other columns are not read.
     """
     model = model or fit(df, conv, turn, role, text)
     shared = df.sparkSession.sparkContext.broadcast(pickle.dumps(model))
-    rows = df.select(F.col(conv).alias("conv"), F.col(turn).cast("bigint").alias("turn"), F.col(text).cast("string").alias("text")).withColumn("segment", F.coalesce(F.floor(F.col("turn") / segment), F.lit(-(1 << 40))).cast("bigint"))
+    every = df.select(F.col(conv).alias("conv"), F.col(turn).cast("bigint").alias("turn"), F.col(text).cast("string").alias("text"))
+    placed = F.col("conv").isNotNull() & F.col("turn").isNotNull()
+    rows = every.where(placed).withColumn("segment", F.floor(F.col("turn") / segment).cast("bigint"))
 
     def product(key: tuple, table: pa.Table) -> pa.Table:
         m: Model = pickle.loads(shared.value)
@@ -155,7 +173,7 @@ def format_chats(df: DataFrame, model: Model | None = None, conv: str = "conv_id
 
     kind = rows.schema["conv"].dataType.simpleString()
     split = rows.groupBy("conv").agg(F.min("segment").alias("a"), F.max("segment").alias("b")).where("a < b").select("conv")
-    long_rows = rows.join(split, rows.conv.eqNullSafe(split.conv), "left_semi")
+    long_rows = rows.join(split, "conv", "left_semi")
     products = long_rows.groupBy("conv", "segment").applyInArrow(product, f"conv {kind}, segment bigint, best binary, first binary")
 
     def borders(key: tuple, table: pa.Table) -> pa.Table:
@@ -183,18 +201,18 @@ def format_chats(df: DataFrame, model: Model | None = None, conv: str = "conv_id
         moves, scores, counts = m.steps(texts, at.column("opens")[0].as_py() if at.num_rows else True)
         before = np.frombuffer(at.column("before")[0].as_py(), np.float64) if at.num_rows else m.begin
         states = viterbi(before, moves, scores, at.column("end")[0].as_py() if at.num_rows else None) if scores else []
-        out: tuple[list, ...] = ([], [], [], [])
-        place = 0
-        for i, (t, n) in enumerate(zip(texts, counts, strict=True)):
-            lines, own = (t or "").split("\n"), states[place : place + n]
-            place += n
-            cuts = [0, *(k for k in range(1, n) if own[k] != own[k - 1]), n]
-            for part, (a, b) in enumerate(zip(cuts, cuts[1:])):
-                for column, x in zip(out, (i, part, ROLES[own[a]], render(ROLES[own[a]], "\n".join(lines[a:b]))), strict=True):
-                    column.append(x)
-        took = pa.array(out[0], pa.int64())
-        return pa.table({"conv": ordered.column("conv").take(took), "turn": ordered.column("turn").take(took), "part": pa.array(out[1], pa.int32()), "role_pred": pa.array(out[2], pa.string()), "rendered": pa.array(out[3], pa.string())})
-
-    out = rows.groupBy("conv", "segment").cogroup(known.groupBy("conv", "segment")).applyInArrow(decoded, schema)
+        return _turns(ordered, states, counts)
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m: Model = pickle.loads(shared.value)
+        for batch in batches:
+            states, counts = [], []
+            for t in batch.column("text").to_pylist():
+                moves, scores, n = m.steps([t], True)
+                states += viterbi(m.begin, moves, scores)
+                counts += n
+            yield from _turns(pa.Table.from_batches([batch]), states, counts).to_batches()
+
+    out = rows.groupBy("conv", "segment").cogroup(known.groupBy("conv", "segment")).applyInArrow(decoded, schema).unionAll(every.where(~placed).mapInArrow(alone, schema))
     return out.select(F.col("conv").alias(conv), F.col("turn").alias(turn), "part", "role_pred", "rendered")
 

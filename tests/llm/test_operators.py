@@ -361,6 +361,22 @@ def test_chat(spark):
     assert chat.format_chats(df.limit(0), model).count() == 0
 
 
+def test_chat_rows_without_a_place(spark):
+    """Rows with a null conv or turn are decoded each by itself and leave the conversations as they are."""
+    texts = ["User: hi?", "Assistant: hello\nthere", "plain", "", None, "User: a\nBot: b"]
+    talks = [(c, t, "user" if t % 2 == 0 else "assistant", prose(5 + 20 * (t % 2))) for c in range(5) for t in range(4)]
+    lost = [x for t in texts for x in [(1, None, None, t), (None, 7, None, t), (None, None, None, t), (None, 7, None, t)]]
+    schema = "conv_id bigint, turn bigint, role string, text string"
+    df = spark.createDataFrame([*talks, *lost], schema)
+    model = chat.fit(df, "conv_id", "turn", "role", "text")
+    got = chat.format_chats(df, model, segment=2).collect()
+    key = lambda rows: sorted((r.part, r.role_pred, r.rendered) for r in rows)
+    single = chat.format_chats(spark.createDataFrame([(k, 0, None, t) for k, (*_, t) in enumerate(lost)], schema), model).collect()
+    assert key(r for r in got if r.conv_id is None or r.turn is None) == key(single)
+    whole = chat.format_chats(spark.createDataFrame(talks, schema), model, segment=2).collect()
+    assert key(r for r in got if r.conv_id is not None and r.turn is not None) == key(whole)
+
+
 # --- URLs and sketches -----------------------------------------------------------------------
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "a.net", "/p/q"), ("block", "net", "/")]
 
