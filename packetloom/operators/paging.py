@@ -22,15 +22,15 @@ def rows_in(budget: int) -> int:
     return max(0, min(MAX_ROWS, (min(budget, MAX_BYTES) - HEADER_BYTES) // ROW_BYTES))
 
 
-def packet_rows(packets: DataFrame) -> DataFrame:
-    """The twelve columns of a packet row; what a packet without time lacks is 0."""
+def packet_rows(packets: DataFrame, *keys: str) -> DataFrame:
+    """keys, and the twelve columns of a packet row; what a packet without time lacks is 0. res_kind: 0 decimal, 1 binary."""
     here = F.col("seconds").isNotNull()
     zero = lambda c: F.coalesce(F.when(here, c), F.lit(0)).cast("bigint")
     return packets.select(
-        "packet_id", F.col("section_id") if "section_id" in packets.columns else F.lit(0).cast("bigint").alias("section_id"), "interface_id", "captured_length", "original_length",
+        *keys, "packet_id", F.col("section_id") if "section_id" in packets.columns else F.lit(0).cast("bigint").alias("section_id"), "interface_id", "captured_length", "original_length",
         F.col("captured_length").alias("evidence_length"), (F.col("evidence_offset") if "evidence_offset" in packets.columns else F.lit(0)).cast("bigint").alias("evidence_offset"),
         zero(F.col("seconds")).alias("ts_seconds"), zero(F.col("fraction")).alias("ts_fraction"), here.alias("ts_present"),
-        F.coalesce(F.when(here, F.when(F.col("res_kind") == "decimal", 1).otherwise(2)), F.lit(0)).cast("bigint").alias("res_kind"), zero(F.col("res_exp")).alias("res_exp"),
+        F.when(here & (F.col("res_kind") == "binary"), 1).otherwise(0).cast("bigint").alias("res_kind"), zero(F.col("res_exp")).alias("res_exp"),
     )
 
 

@@ -17,6 +17,7 @@ from packetloom.operators import validate as V
 from packetloom.plans import captures, wire
 from packetloom.plans.frames import frames
 from packetloom.plans.trace import events_trace
+from packetloom.sinks import batches as B
 from packetloom.sources import pcap as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -266,8 +267,14 @@ _RANK = "row_number() over (partition by selection_id order by (f0 = s0 and f1 =
 R.add("correlate_fields", lambda p: C.correlate(*_ranges(p)), _sql(_SEL, _FLD, select=f"select selection_id, s.packet_id, field_id, {_RANK} as rank from selections s join fields f on s.packet_id = f.packet_id where {_HIT}"))
 R.add("range_overlap_join", lambda p: C.correlate(*_ranges(p)).groupBy("selection_id").agg(F.count("*").alias("n")), _sql(_SEL, _FLD, select=f"select selection_id, count(*) as n from selections s join fields f on s.packet_id = f.packet_id where {_HIT} group by 1"))
 R.add("selection_out_of_bounds", lambda p: C.out_of_bounds(_ranges(p)[0].withColumn("length", F.col("length") * 20), p), _sql(_SEL, select="select selection_id, s.packet_id, 'selection_out_of_bounds' as reason from selections s join p on s.packet_id = p.packet_id where s0 + (s1 - s0) * 20 > size"))
-_ROW = "packet_id, 0::bigint as section_id, interface_id, size as captured_length, original_length, size as evidence_length, 0::bigint as evidence_offset, coalesce(t // 1000000, 0)::bigint as ts_seconds, coalesce(t % 1000000, 0)::bigint as ts_fraction, t is not null as ts_present, case when t is not null then 1 else 0 end::bigint as res_kind, case when t is not null then 6 else 0 end::bigint as res_exp"
+# a number's bytes as hexadecimal digits, the lowest byte first
+_LE = lambda x, n: " || ".join(f"printf('%02x', (({x}) >> {8 * i}) & 255)" for i in range(n))
+_HEAD = " || ".join(["'574c504b54423031010040000100000018000c00'", _LE("(b = n)::bigint", 4), _LE("b - a", 4), "'4000000060010000'", _LE("352 + 51 * (b - a)", 4), _LE("a", 8), _LE("b", 8), _LE("n", 8)])
+_BATCH = f"select 'events' as capture_id, a as start_row, b as next_row, n as total_rows, 352 + 51 * (b - a) as bytes, {_HEAD} as head from (select min(packet_id) as a, max(packet_id) + 1 as b, (select count(*) from p) as n from p group by packet_id // 4096)"
+_ROW = "packet_id, 0::bigint as section_id, interface_id, size as captured_length, original_length, size as evidence_length, 0::bigint as evidence_offset, coalesce(t // 1000000, 0)::bigint as ts_seconds, coalesce(t % 1000000, 0)::bigint as ts_fraction, t is not null as ts_present, 0::bigint as res_kind, case when t is not null then 6 else 0 end::bigint as res_exp"
 R.add("packet_rows", lambda p: G.packet_rows(p), _sql(select=f"select {_ROW} from p"))
+R.add("packet_batches", lambda p: B.packet_batches(p).select("capture_id", "start_row", "next_row", "total_rows", F.length("batch").cast("bigint").alias("bytes"), F.lower(F.hex(F.substring("batch", 1, 64))).alias("head")), _sql(select=_BATCH))
+R.add("packet_batch_rows", lambda p: B.batch_rows(B.packet_batches(p)).drop("capture_id"), _sql(select=f"select {_ROW} from p"))
 R.add("packet_page", lambda p: G.packet_page(p, 500, 200, 8192), _sql(select=f"select {_ROW} from p where packet_id >= 500 order by packet_id limit 153"))
 R.add("evidence_slice", lambda p: _frames(p).select("packet_id", F.lower(F.hex(G.evidence(F.col("data"), F.lit(6), 6))).alias("bytes")), _sql(select="select packet_id, '020000000002' as bytes from p"))
 R.add("capture_extrema", lambda p: p.sparkSession.createDataFrame([(a[0] * 1_000_000 + a[1], b[0] * 1_000_000 + b[1]) for a, b in [extrema(p)]], "started_at bigint, ended_at bigint"), _sql(select="select min(t) as started_at, max(t) as ended_at from p"))
