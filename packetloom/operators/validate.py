@@ -46,3 +46,20 @@ def check_fields(fields: DataFrame, packets: DataFrame) -> DataFrame:
         _count("field_parent_missing", j.where("p0 is null")), _count("field_before_parent", j.where("field_id <= parent_id")),
         _count("field_outside_parent", j.where("start < p0 or start + length > p1")), _count("field_outside_packet", inside.where("captured_length is null or start < 0 or start + length > captured_length")),
     ])
+
+
+def check_trees(trees: DataFrame) -> DataFrame:
+    """The checks of check_fields on trees that kept the captured_length of their packet: a row each, so no row meets another.
+
+    A parent is looked for where its field_id says, then among all fields; of several the first.
+    """
+    parent = "case when get(fields, f.parent_id).field_id = f.parent_id then get(fields, f.parent_id) else get(filter(fields, g -> g.field_id = f.parent_id), 0) end"
+    pairs = trees.selectExpr("captured_length", f"transform(fields, f -> struct(f.field_id, f.parent_id, f.start, f.start + f.length as stop, {parent} as p)) as pairs")
+    bad = {
+        "field_parent_missing": "f.parent_id is not null and f.p is null",
+        "field_before_parent": "f.field_id <= f.parent_id",
+        "field_outside_parent": "f.start < f.p.start or f.stop > f.p.start + f.p.length",
+        "field_outside_packet": "captured_length is null or f.start < 0 or f.stop > captured_length",
+    }
+    counts = pairs.agg(*[F.coalesce(F.sum(F.expr(f"size(filter(pairs, f -> {rule}))").cast("bigint")), F.lit(0)).alias(name) for name, rule in bad.items()])
+    return counts.selectExpr(f"stack({len(bad)}, {', '.join(f"'{name}', {name}" for name in bad)}) as (`check`, violations)")

@@ -280,7 +280,7 @@ R.add("evidence_slice", lambda p: _frames(p).select("packet_id", F.lower(F.hex(G
 R.add("capture_extrema", lambda p: p.sparkSession.createDataFrame([(a[0] * 1_000_000 + a[1], b[0] * 1_000_000 + b[1]) for a, b in [extrema(p)]], "started_at bigint, ended_at bigint"), _sql(select="select min(t) as started_at, max(t) as ended_at from p"))
 R.add("interface_join", lambda p: p.join(F.broadcast(p.sparkSession.createDataFrame([("events", 0, "eth0"), ("events", 1, "eth1")], "capture_id string, interface_id bigint, name string")), ["capture_id", "interface_id"]).groupBy("name").agg(F.count("*").alias("n")), _sql(select="select 'eth' || interface_id as name, count(*) as n from p group by 1"))
 R.add("validate_packets", lambda p: V.check_packets(p), "select unnest(['packet_id_dense', 'captured_length_negative', 'timestamp_halves', 'timestamp_fraction']) as \"check\", 0::bigint as violations")
-R.add("validate_fields", lambda p: V.check_fields(T.table(_trees(p), "fields"), _frames(p).select("packet_id", F.length("data").alias("captured_length"))), "select unnest(['field_parent_missing', 'field_before_parent', 'field_outside_parent', 'field_outside_packet']) as \"check\", 0::bigint as violations")
+R.add("validate_fields", lambda p: V.check_trees(T.decode_trees(_frames(p).withColumn("captured_length", F.length("data")), keep=("captured_length",))), "select unnest(['field_parent_missing', 'field_before_parent', 'field_outside_parent', 'field_outside_packet']) as \"check\", 0::bigint as violations")
 R.add("format_sniff", lambda p: p.select("packet_id", F.unhex(F.element_at(F.array(*map(F.lit, _MAGICS)), (F.col("packet_id") % len(_MAGICS) + 1).cast("int"))).alias("h")).select("packet_id", S.sniff(F.col("h")).alias("format")), _sql(select=f"select packet_id, [{', '.join(repr(x) for x in ('pcap', 'pcap', 'pcap', 'pcap', 'pcapng', 'malformed', 'need_more_bytes', 'unsupported'))}][packet_id % 8 + 1] as format from p"))
 R.add("filename_hint", lambda p: p.select("packet_id", S.filename_hint(F.concat(F.lit("/a.b/x"), F.element_at(F.array(*map(F.lit, [".pcap", ".PCAPNG", ".txt", ""])), (F.col("packet_id") % 4 + 1).cast("int")))).alias("hint")), _sql(select="select packet_id, ['pcap', 'pcapng', null, null][packet_id % 4 + 1] as hint from p"))
 

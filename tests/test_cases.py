@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from packetloom.functions import decode, tree
 from packetloom.functions.time import ticks_per_second
 from packetloom.functions.tree import EthernetDecoder
-from packetloom.operators import correlate, flows, paging
+from packetloom.operators import correlate, flows, paging, validate
 from packetloom.session import Session
 from packetloom.sinks import captures as sink
 from packetloom.sources import pcap
@@ -159,6 +159,29 @@ def test_whole_details_or_none(spark):
             paging.packet_detail(trees, **caps).collect()
 
 
+def test_broken_trees_are_counted(spark):
+    field = "field_id int, parent_id int, start int, length int"
+    whole = [(0, None, 0, 10), (1, 0, 2, 3), (2, 1, 4, 1)]
+    rows = [(10, whole), (9, whole), (None, whole), (10, [(0, None, -1, 4), (1, 5, 0, 1), (2, 2, 0, 1), (7, 0, 1, 3)]), (10, [(4, None, 0, 5), (6, 4, 3, 3)]), (3, []), (10, None)]
+    trees = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], f"packet_id long, captured_length int, fields array<struct<{field.replace(' int', ':int').replace(', ', ',')}>>")
+    got = {r.check: r.violations for r in validate.check_trees(trees).collect()}
+    assert got == {"field_parent_missing": 1, "field_before_parent": 2, "field_outside_parent": 2, "field_outside_packet": 5}
+    tables = validate.check_fields(trees.selectExpr("packet_id", "inline(fields)"), trees.select("packet_id", "captured_length"))
+    assert got == {r.check: r.violations for r in tables.collect()}
+    none = {r.check: r.violations for r in validate.check_trees(trees.limit(0)).collect()}
+    assert list(none.values()) == [0] * 4
+
+
+def test_trees_in_small_batches_keep_columns(spark, monkeypatch):
+    monkeypatch.setattr(tree, "TOGETHER", 2)
+    df = spark.createDataFrame([("c", k, k + 7, v4(40000 + k, 443, 2)) for k in range(5)], "capture_id string, packet_id bigint, captured_length int, data binary").coalesce(1)
+    trees = tree.decode_trees(df, keep=("captured_length",))
+    assert sorted((r.packet_id, r.captured_length) for r in trees.collect()) == [(k, k + 7) for k in range(5)]
+    # no packet's tree meets another's: the check is one pass and one sum
+    plan = validate.check_trees(trees)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan
+
+
 def test_ticks(spark):
     cases = [("decimal", 0, 1), ("decimal", 18, 10**18), ("decimal", 19, None), ("binary", 20, 1 << 20), ("binary", 62, 1 << 62), ("binary", 63, None), (None, 6, None)]
     got = spark.createDataFrame([(k, e) for k, e, _ in cases], "k string, e int").select(ticks_per_second(F.col("k"), F.col("e")).alias("t")).collect()
