@@ -290,6 +290,25 @@ def test_toxicity(spark):
     assert all(r.predicted == (r.score >= 0.7) for r in got)
 
 
+def test_toxicity_learns_from_every_labelled_text(spark, monkeypatch):
+    df = labelled(spark)
+    marks = df.select("doc_id", "toxic")
+    long = spark.createDataFrame([(k, "word " * 14_000 + f"onlyhere thelast{k}", 1) for k in (7001, 7002, 7003)], "doc_id bigint, text string, toxic int")
+    rows, both = df.select("doc_id", "text").unionByName(long.select("doc_id", "text")), marks.unionByName(long.select("doc_id", "toxic"))
+    texts = toxicity.labelled(rows.unionByName(rows.limit(1)).unionByName(spark.createDataFrame([(7004, "no label"), (None, "no id"), (7001, None)], "doc_id bigint, text string")), both)
+    assert texts.count() == df.count() + 3 + 1
+    # as many texts as there are, and the end of texts over 60,000 characters, count
+    n = df.count() + 3
+    words = toxicity.vocabulary(texts.withColumn("held", F.lit(False)), n)[0]
+    assert toxicity.hashed_words(np.frombuffer(b"onlyhere", np.uint8), np.array([0, 8]))[0][0] in words
+    # a shard's layout in files or tasks changes nothing, and several shards learn as well
+    monkeypatch.setattr(toxicity, "SHARD", 1 << 12)
+    one, two = (toxicity.train(x.select("doc_id", "text"), marks.where("doc_id % 3 <> 1")) for x in (df.coalesce(1), df.repartition(5, "text")))
+    assert np.array_equal(one.out, two.out) and one.scale == two.scale
+    held = [r for r in toxicity.score(df, one, keep=("doc_id", "toxic")).collect() if r.doc_id % 3 == 1]
+    assert sum(r.predicted == r.toxic for r in held) >= 0.9 * len(held)
+
+
 def test_language_id(spark):
     r = random.Random(9)
     letters = {"xx": "abcde", "yy": "mnopqé"}
