@@ -138,6 +138,17 @@ def test_pipeline_drops_edited_copies(spark):
     assert sorted(k for k in kept if k is not None) == [i for i in range(len(texts)) if want[i] == i] and kept.count(None) == 2
 
 
+def test_pipeline_drops_what_only_simhash_finds(spark, monkeypatch):
+    """A cycle decides the fingerprint; without MinHash keys, what SimHash links is compared and the exact similarity decides."""
+    marked, r = jaccard.marked, random.Random(5)
+    monkeypatch.setattr(jaccard, "marked", lambda df: marked(df).withColumn("keys", F.expr("cast(array() as array<bigint>)")))
+    head, tails = "alpha beta gamma " * 200, [" ".join(f"w{r.randrange(10**9)}" for _ in range(30)) for _ in range(2)]
+    texts = [head + tails[0], head + tails[0] + " more", head + tails[1], prose(40, r)]
+    assert len({simhash.fingerprint(t.encode()) for t in texts[:3]}) == 1
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == [0, 2, 3]
+
+
 def test_pipeline_keeps_other_texts_of_a_repeated_id(spark):
     a, b, c = (prose(40, random.Random(k)) for k in (1, 2, 3))
     docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in [(5, a), (5, b), (5, b), (2, b), (7, a), (7, c)]], "doc_id bigint, text string, lang string, source string, n_chars bigint")
