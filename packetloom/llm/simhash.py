@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from packetloom.llm import _bytes as B
 from packetloom.llm._shared import written
-from packetloom.llm.components import components
+from packetloom.llm.components import components, forest
 
 THRESHOLD = 3
 #: Fingerprints at one anchor that one task compares with each other; more are dealt out in squares.
@@ -54,6 +54,7 @@ def fingerprints(df: DataFrame, text: str = "text", key: str = "doc_id", size: i
             whole = memoryview(np.ascontiguousarray(data))
             fp = np.array([fingerprint(bytes(whole[a:b]), size) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(fp.view(np.int64))], ["k", "fp"])
+        B.release()
 
     wanted = df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
     return wanted.mapInArrow(hashed, f"k {wanted.schema['k'].dataType.simpleString()}, fp bigint").withColumnRenamed("k", key)
@@ -94,23 +95,6 @@ def _copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(values))], ["anchor", "fp"])
 
 
-def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A star for each component of the links u-v: at most a link for each node."""
-    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
-    a, b = at[: len(u)], at[len(u) :]
-    label = np.arange(len(nodes))
-    while len(u):
-        least = np.minimum(label[a], label[b])
-        before = label.copy()
-        np.minimum.at(label, a, least)
-        np.minimum.at(label, b, least)
-        label = label[label]
-        if (label == before).all():
-            break
-    far = np.flatnonzero(label != np.arange(len(nodes)))
-    return nodes[far], nodes[label[far]]
-
-
 def _links(group: np.ndarray, fp: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Links among the fp of each run of equal group, reduced to a forest."""
     edge = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -93,6 +94,22 @@ def test_components_of_a_path_and_a_star(spark):
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 150)}
 
 
+@pytest.mark.parametrize("few", [None, 0])
+def test_components_of_few_links_take_no_rounds(spark, monkeypatch, few):
+    r = random.Random(3)
+    pairs = [(r.randrange(-300, 300), r.randrange(-300, 300)) for _ in range(250)] + [(5, None), (9, 9)]
+    tables, write = [], components.written
+    monkeypatch.setattr(components, "written", lambda df, label: tables.append(label) or write(df, label))
+    got = {x.node: x.root for x in components.components(spark.createDataFrame(pairs, "u bigint, v bigint"), few=few).collect()}
+    label = {x: x for u, v in pairs if v is not None and u != v for x in (u, v)}
+    for _ in label:
+        for u, v in pairs:
+            if v is not None and u != v:
+                label[u] = label[v] = min(label[u], label[v])
+    assert got == label
+    assert len(tables) == 1 if few is None else len(tables) > 2
+
+
 # --- similar texts ---------------------------------------------------------------------------
 def slow_shingles(text):
     words = (text or "").encode().lower().split()
@@ -130,6 +147,22 @@ def test_similar_texts(spark, bucket):
     assert all((mine[i] == mine[j]) == (want[i] == want[j]) for i in range(len(texts)) for j in range(i))
 
 
+def test_a_full_bucket_is_compared_in_little_memory():
+    r = random.Random(1)
+    own = ["".join(r.choices("abcdefghij", k=9)) for _ in range(5000)]
+    texts = pa.chunked_array([[" ".join(r.choices(own, k=512)) for _ in range(jaccard.BUCKET // 2)] for _ in range(2)] + [[None, "", "one two"]])
+    tracemalloc.start()
+    try:
+        sets, bounds = jaccard.sets_of(texts)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 200e6  # by shingles() at once 623 MB
+    data, offsets = B.column_bytes(texts)
+    want = jaccard.shingles(data[offsets[2040] :], offsets[2040:] - offsets[2040])
+    assert len(bounds) == len(texts) + 1 and np.array_equal(sets[bounds[2040] :], want[0]) and np.array_equal(bounds[2040:] - bounds[2040], want[1])
+
+
 def test_pipeline_drops_edited_copies(spark):
     texts = edited()
     docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(texts)] + [(None, texts[0], "en", "a", 1)] * 2, "doc_id bigint, text string, lang string, source string, n_chars bigint")
