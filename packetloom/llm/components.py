@@ -19,13 +19,14 @@ def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     a, b = at[: len(u)], at[len(u) :]
     label = np.arange(len(nodes))
     while len(u):
-        least = np.minimum(label[a], label[b])
-        before = label.copy()
-        np.minimum.at(label, a, least)
-        np.minimum.at(label, b, least)
-        label = label[label]
-        if (label == before).all():
+        one, two = label[a], label[b]
+        if (one == two).all():
             break
+        least = np.minimum(one, two)
+        np.minimum.at(label, one, least)
+        np.minimum.at(label, two, least)
+        while (label[label] != label).any():
+            label = label[label]
     far = np.flatnonzero(label != np.arange(len(nodes)))
     return nodes[far], nodes[label[far]]
 
