@@ -353,6 +353,27 @@ def test_toxicity_learns_from_every_labelled_text(spark, monkeypatch):
     assert sum(r.predicted == r.toxic for r in held) >= 0.9 * len(held)
 
 
+def test_toxicity_shuffles_no_text_to_find_labels(spark):
+    r = random.Random(8)
+    docs = [(r.randrange(-40, 40), prose(3, r)) for _ in range(150)] + [(None, "no id"), (3, None), (200, "no label"), (3, "null label")]
+    marks = [(r.randrange(-60, 60), r.choice([0, 0, 1, None])) for _ in range(90)] + [(None, 1)]
+    found = toxicity.labelled(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(marks, "doc_id int, toxic int"))
+    want = {}
+    for k, y in marks:
+        if k is not None and y is not None:
+            want[k] = max(y, want.get(k, 0))
+    assert sorted((x.y, x._text) for x in found.collect()) == sorted((want[k], t) for k, t in docs if k in want and t is not None)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_toxicity_tells_marks_whose_bit_others_share(spark):
+    keys = spark.range(240_000).select((F.col("id") % 3 == 0).alias("mark"), F.xxhash64("id").alias("h"))
+    marks, others = (written(keys.where(c).select("h"), "keys") for c in ("mark", "not mark"))
+    found = toxicity._known(marks, others.unionByName(marks))
+    table = keys.toArrow()
+    assert len(found[2]) > 1000 and np.array_equal(toxicity._among(found, table.column("h").to_numpy()), table.column("mark").to_numpy())
+
+
 def test_language_id(spark):
     r = random.Random(9)
     letters = {"xx": "abcde", "yy": "mnopqé"}
